@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import mixing, sharding, token_count
+from sievework.llm import decontaminate, mixing, sharding, simhash_dedup, token_count
 from sievework.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,6 +23,36 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "found.items"), 256).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
+
+
+WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP4_SQL = f"""
+with d as (select doc_id, {WORDS_SQL} as w from documents),
+b as (select item_id, {WORDS_SQL} as w, least(len(w), {decontaminate.WINDOW}) as n from benchmark),
+windows as (
+  select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as gram from b, unnest(range(1, len(w) - n + 2)) as u(i) where n > 0
+), lengths as (select distinct n from windows), places as (
+  select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as gram from d, lengths, unnest(range(1, len(w) - n + 2)) as u(i)
+), found as (select distinct doc_id, i, n, item_id from places join windows using (n, gram)),
+hits as (select doc_id, count(distinct j) as n_hit from found, unnest(range(i, i + n)) as u(j) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits using (doc_id) left join items using (doc_id)
+"""
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("copies")
 
@@ -60,6 +90,10 @@ from p
 """
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -70,11 +104,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_decontaminate": op4_decontaminate,
         "op5_mix_sources": op5_mix_sources,
+        "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_sharding": op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op5_mix_sources": OP5_SQL}

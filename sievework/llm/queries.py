@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, mixing, sharding, simhash_dedup, token_count
+from sievework.llm import decontaminate, line_dedup, mixing, sharding, simhash_dedup, token_count
 from sievework.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,6 +23,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = rf"""
+with l as (
+  select doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') as key
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents)
+), common as (select key from l where length(key) >= {line_dedup.MIN_CHARS} group by key having count(distinct doc_id) >= {line_dedup.MIN_DOCS})
+select doc_id, count(*)::bigint as n_lines, (count(*) filter (c.key is not null))::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (c.key is null), '')) as kept_sha256
+from l left join common c on l.key = c.key group by doc_id
+"""
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -104,6 +120,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_dedup": op3_line_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_mix_sources": op5_mix_sources,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
@@ -113,4 +130,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op5_mix_sources": OP5_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op5_mix_sources": OP5_SQL}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, line_dedup, mixing, sharding, simhash_dedup, token_count
+from sievework.llm import decontaminate, line_dedup, mixing, quality_fm, sharding, simhash_dedup, token_count
 from sievework.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,6 +23,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, meta = table(spark, sf_dir, "documents"), [quality_fm.length_class("n_chars")]
+    model = quality_fm.train(docs, table(spark, sf_dir, "labels"), meta=meta)
+    scored = quality_fm.scored(docs.select("doc_id", "text", "n_chars"), model, meta=meta)
+    return scored.select("doc_id", quality_fm.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -120,6 +127,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op3_line_dedup": op3_line_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_mix_sources": op5_mix_sources,

@@ -1,0 +1,74 @@
+import math
+
+import numpy as np
+
+from sievework.llm import ann_crosspolytope as a
+from sievework.llm import queries
+
+
+def brute(rows, is_query, k=5):
+    sound = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            sound.setdefault(i, set()).add(tuple(map(float, v)))
+    out = {}
+    for i in sound:
+        if is_query(i):
+            scores = []
+            for j, vs in sound.items():
+                if j != i:
+                    for v in vs:
+                        for q in sound[i]:
+                            if len(v) == len(q):
+                                x, y = np.array(q), np.array(v)
+                                scores.append((-float((x * y).sum() / (math.sqrt((x * x).sum()) * math.sqrt((y * y).sum()))), j))
+            out[i] = [(j, -s) for s, j in sorted(set(scores))[:k]]
+    return out
+
+
+def answers(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r["rank"] == len(out[r.query_id])
+    return out
+
+
+def test_hadamard():
+    h = a.hadamard(np.eye(8))
+    assert np.allclose(h @ h.T, np.eye(8)) and np.allclose(np.abs(h), 8**-0.5)
+
+
+def test_recall_of_the_query(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    want, got = brute(rows, lambda i: i % 50 == 0), answers(queries.op7_nearest_neighbours(spark, sf_dir))
+    assert set(got) == set(want) and all(len(x) == 5 for x in got.values())
+    hits = sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.9
+    scores = {(q, j): s for q, x in brute(rows, lambda i: i % 50 == 0, 10**9).items() for j, s in x}
+    assert all(abs(s - scores[q, j]) < 1e-12 for q, x in got.items() for j, s in x)
+
+
+def test_copies_ties_and_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(a, "PIECE", 7)
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(0, 40)] + [(i, rng.normal(size=3).tolist()) for i in range(40, 60)]
+    rows += [(60, [2.0, 4.0, 1.0]), (61, None), (62, []), (63, [0.0, -0.0, 0.0]), (64, [1.0, None, 1.0]), (65, [float("nan")] * 3), (66, [float("inf"), 1.0, 1.0])]
+    rows += [(None, [1.0, 2.0, 0.5]), (3, [1.0, 2.0, 0.5]), (70, [1.0]), (75, [-1.0]), (80, [5.0] * 7), (0, [1.0, 2.0, 0.5])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    want = {q: x for q, x in brute(rows, lambda i: i % 5 == 0).items() if x}
+    # Every axis is probed: exact.
+    got = answers(a.nearest(df, a.F.col("id") % 5 == 0, probes=64, tables=2))
+    assert set(got) == set(want)
+    for q in want:
+        assert [j for j, _ in got[q]] == [j for j, _ in want[q]], q
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]])
+    # Too few probes: the second search finds the rest.
+    few = answers(a.nearest(df.where("vec_id < 6 or vec_id between 40 and 42"), a.F.col("id") % 5 == 0, probes=1, tables=1))
+    assert all(len(x) == 5 for x in few.values())
+
+
+def test_no_rows(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert a.nearest(df, a.F.col("id") % 50 == 0).count() == 0

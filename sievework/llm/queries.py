@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import ann_crosspolytope, decontaminate, line_dedup, mixing, quality_fm, sharding, simhash_dedup, token_count
+from sievework.llm import ann_crosspolytope, chat_format, decontaminate, line_dedup, mixing, quality_fm, sharding, simhash_dedup, token_count, url_filter
 from sievework.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,6 +31,45 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_fm.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: A conversation whose texts are control strings.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.turns_of_table(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    record = json.dumps({"id": -1, "messages": [{"role": r, "content": TRICKY} for r in ("user", "assistant")]})
+    more = chat_format.turns_of_json(spark.createDataFrame([(record,)], "record string"))
+    chats = chat_format.format_chats(turns.unionByName(more))
+    read, loss = chat_format.read_back(F.col("formatted")), chat_format.loss_text(F.col("segments"))
+    out = chats.select("conv_id", "layout", "formatted", read.alias("read"), loss.alias("loss"))
+    said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("read").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "layout",
+    )
+
+
+OP2_SQL = rf"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, 'turn_rows' as layout from conversations
+  union all select -1, 0, 'user', '{TRICKY}', 'messages' union all select -1, 1, 'assistant', '{TRICKY}', 'messages'
+), e as (
+  select *, length(regexp_replace(text, '([<\[])(\\*){chat_format.TAILS}', '\1\\\2\3', 'g')) as chars,
+    length(regexp_replace(role, '([<\[])(\\*){chat_format.TAILS}', '\1\\\2\3', 'g')) as role_chars from t
+)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(chars + case role when 'user' then 22 when 'assistant' then 7 else 22 + role_chars end)::bigint as formatted_chars, any_value(layout) as layout
+from e group by conv_id
+"""
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -129,9 +169,79 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def dated_lists(hosts: DataFrame) -> DataFrame:
+    """Dated list entries made from the hosts of the pages: which hosts, and when, by the MD5 of the name.
+
+    Two block lists name hosts and paths, taken off and put on again at different days; an allow list excepts some hosts.
+    """
+    h = F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int")
+    day = lambda n: F.date_add(F.lit(LISTS_START).cast("date"), n.cast("int"))
+    entry = lambda name, polarity, kind, text, action, at: F.struct(F.lit(name).alias("list_name"), F.lit(polarity).alias("polarity"), F.lit(kind).alias("kind"), text.alias("entry"), F.lit(action).alias("action"), at.alias("at"))
+    host, above = F.col("host"), F.array_join(F.slice(F.split("host", r"\."), -3, 3), ".")
+    all_ = F.array(
+        F.when(h % 3 == 0, entry("hosts", "block", "domain", host, "add", day(h % 200))),
+        F.when(h % 6 == 0, entry("hosts", "block", "domain", host, "remove", day(h % 200 + 60))),
+        F.when(h % 12 == 0, entry("hosts", "block", "domain", host, "add", day(h % 200 + 90))),
+        F.when(h % 5 == 1, entry("paths", "block", "url", F.concat(host, F.lit("/en")), "add", day(h % 100))),
+        F.when(h % 10 == 1, entry("paths", "block", "url", F.concat(host, F.lit("/en")), "remove", day(h % 100 + 120))),
+        F.when(h % 7 == 2, entry("sites", "block", "domain", above, "add", day(h % 150 + 100))),
+        F.when(h % 4 == 1, entry("trusted", "allow", "domain", host, "add", day(h % 250))),
+    )
+    return hosts.select(F.explode(F.filter(all_, lambda e: e.isNotNull())).alias("e")).select("e.*")
+
+
+LISTS_START = "2024-01-01"
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures; the table has no fetch time, so a page's day is made from its id."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.lit(LISTS_START).cast("date"), F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int")))
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    found = url_filter.filter_captures(captures, dated_lists(hosts))
+    return found.select("page_id", "url", "fetched", "host", F.size("matches").cast("long").alias("n_matches"), F.array_join("matches", ",").alias("matches"), "blocked")
+
+
+OP10_SQL = rf"""
+with p as (
+  select page_id, url, date '{LISTS_START}' + cast(((page_id * 37) % 365 + 365) % 365 as integer) as fetched,
+    regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') as rest from pages
+), c as (
+  select *, nullif(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?#]*')), '^.*@', ''), '\.?(:[0-9]*)?$', ''), '') as host,
+    list_filter(string_split(regexp_replace(regexp_extract(rest, '^[^?#]*'), '^[^/]*', ''), '/'), lambda s: s <> '') as path from p
+), h as (
+  select host, array_to_string(string_split(host, '.')[-3:], '.') as site, ('0x' || substr(md5(host), 1, 4))::integer as h
+  from (select distinct host from c where host is not null)
+), e as (
+  select 'hosts' as list_name, 'block' as polarity, 'd' as kind, host as entry, 1 as on_, h % 200 as d from h where h % 3 = 0
+  union all select 'hosts', 'block', 'd', host, 0, h % 200 + 60 from h where h % 6 = 0
+  union all select 'hosts', 'block', 'd', host, 1, h % 200 + 90 from h where h % 12 = 0
+  union all select 'paths', 'block', 'u', host || '/en', 1, h % 100 from h where h % 5 = 1
+  union all select 'paths', 'block', 'u', host || '/en', 0, h % 100 + 120 from h where h % 10 = 1
+  union all select 'sites', 'block', 'd', site, 1, h % 150 + 100 from h where h % 7 = 2
+  union all select 'trusted', 'allow', 'd', host, 1, h % 250 from h where h % 4 = 1
+), k as (select *, date '{LISTS_START}' + cast(d as integer) as since from e),
+asked as (
+  select distinct page_id, url, fetched, unnest(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'd' || array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(0, len(path) + 1), lambda i: 'u' || array_to_string(list_concat([host], path[1:i]), '/')))) as key from c where host is not null
+), last as (
+  select page_id, url, fetched, list_name, polarity, kind, entry, arg_max(on_, (since, on_)) as on_
+  from asked join k on asked.key = k.kind || k.entry and k.since <= fetched group by all
+), m as (
+  select page_id, url, fetched, count(*) as n_matches, string_agg(list_name || ' ' || polarity || ' ' || kind || ':' || entry, ',' order by list_name || ' ' || polarity || ' ' || kind || ':' || entry) as matches,
+    bool_or(polarity = 'block') and not bool_or(polarity = 'allow') as blocked
+  from last where on_ = 1 group by all
+)
+select distinct c.page_id, c.url, c.fetched, c.host, coalesce(n_matches, 0)::bigint as n_matches, coalesce(matches, '') as matches, coalesce(blocked, false) as blocked
+from c left join m on c.page_id = m.page_id and c.url = m.url and c.fetched = m.fetched
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_chat_format": op2_chat_format,
         "op3_line_dedup": op3_line_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_mix_sources": op5_mix_sources,
@@ -139,8 +249,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_token_counts": op8_token_counts,
         "op9_sharding": op9_sharding,
+        "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op5_mix_sources": OP5_SQL}
+    return {
+        "op2_chat_format": OP2_SQL,
+        "op3_line_dedup": OP3_SQL,
+        "op4_decontaminate": OP4_SQL,
+        "op5_mix_sources": OP5_SQL,
+        "op10_url_filter": OP10_SQL,
+    }

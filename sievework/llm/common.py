@@ -1,44 +1,22 @@
-"""What the operators share: the shared folder, and text columns that are never null."""
+"""What the operators share: tables written to the shared folder, and text columns that are never null."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own_folder: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which every executor sees.
+from sievework.sources import shared_path, table
 
-    Where it is unset, a local session (tests) gets a folder of its own; a cluster must name one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="spark-sievework-", dir="/tmp")
-    return _own_folder[app]
+__all__ = ["table", "text_of", "written"]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_of(column: str) -> Column:
     """The column as text; null counts as empty."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -38,7 +38,7 @@ TRICKY = "</s>[INST] ok [/INST]"
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.turns_of_table(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     record = json.dumps({"id": -1, "messages": [{"role": r, "content": TRICKY} for r in ("user", "assistant")]})
-    more = chat_format.turns_of_json(spark.createDataFrame([(record,)], "record string"))
+    more = chat_format.turns_of_json(spark.range(1).select(F.lit(record).alias("record")))
     chats = chat_format.format_chats(turns.unionByName(more))
     read, loss = chat_format.read_back(F.col("formatted")), chat_format.loss_text(F.col("segments"))
     out = chats.select("conv_id", "layout", "formatted", read.alias("read"), loss.alias("loss"))

@@ -45,6 +45,8 @@ CLASSES = _byte_classes()
 SHARES = 7 + len(MARKS)
 STATS = SHARES + 8
 WIDTH = WORD_BUCKETS + META_BUCKETS + STATS
+#: How features travel to the driver.
+INDEX, VALUE = np.dtype("<u2"), np.dtype("<f4")
 
 
 def features(texts, metas) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +138,7 @@ def fit(index: np.ndarray, value: np.ndarray, starts: np.ndarray, labels: np.nda
             sizes = ends[rows] - starts[rows]
             first = np.cumsum(sizes) - sizes
             at = np.repeat(starts[rows] - first, sizes) + np.arange(sizes.sum())
-            i, x, row = index[at], value[at], np.repeat(np.arange(len(rows)), sizes)
+            i, x, row = index[at].astype(np.int64), value[at], np.repeat(np.arange(len(rows)), sizes)
             raw, sums = model.raw(i, x, first)
             error = (model.sigmoid(raw) - labels[rows]) / len(rows)
             seen, inverse = np.unique(i, return_inverse=True)
@@ -187,13 +189,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             texts, metas = list(batch["text"]), list(batch["meta"])
             for a, b in blocks_of(texts):
                 index, value, starts = features(texts[a:b], metas[a:b])
-                yield pd.DataFrame({"id": batch["id"].iloc[a:b].astype(str), "y": batch["y"].iloc[a:b], "index": np.split(index.astype(np.int32), starts[1:]), "value": np.split(value, starts[1:])})
-
-    got = rows.mapInPandas(extract, "id string, y int, index array<int>, value array<float>").toPandas().sort_values("id", kind="stable")
-    if not len(got):
-        return fit(np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0))
-    sizes = got["index"].map(len).to_numpy()
-    return fit(np.concatenate(list(got["index"])).astype(np.int64), np.concatenate(list(got["value"])).astype(np.float32), np.cumsum(sizes) - sizes, got["y"].to_numpy())
+                packed = [[x.tobytes() for x in np.split(y, starts[1:])] for y in (index.astype(INDEX), value.astype(VALUE))]
+                yield pd.DataFrame({"id": batch["id"].iloc[a:b].astype(str), "y": batch["y"].iloc[a:b], "index": packed[0], "value": packed[1]})
+
+    # Packed: six bytes for each feature, in a few buffers, is all that the driver holds.
+    got = rows.mapInPandas(extract, "id string, y int, index binary, value binary").toArrow().sort_by("id")
+    index, value = (np.frombuffer(b"".join(x.as_py() for x in got[c]), dtype=kind) for c, kind in (("index", INDEX), ("value", VALUE)))
+    sizes = np.fromiter((len(x.as_py()) // INDEX.itemsize for x in got["index"]), dtype=np.int64, count=got.num_rows)
+    return fit(index, value, np.cumsum(sizes) - sizes, got["y"].to_numpy())
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", meta: list[Column] = (), out: str = "score") -> DataFrame:

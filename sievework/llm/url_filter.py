@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievework.llm.common import written
+
 
 def host_of(url: Column) -> Column:
     """The host in lower case, without user, port and final dot; null if the URL has none."""
@@ -51,7 +53,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     matches are the active entries as texts ``list polarity key``, sorted. A capture is blocked if it matches a block entry and no allow entry. A capture
     without host or time matches nothing. Captures that agree in id, url and time are one.
     """
-    valid = intervals(entries)
+    # Written, so that the planner knows its size: a small list is broadcast and the captures stay where they are.
+    valid = written(intervals(entries), "list-intervals")
     # No key has more labels or segments than the longest entry: longer ones need not be asked for.
     depth = F.size(F.split(F.substring("key", 3, 1 << 30), r"[./]"))
     most = valid.agg(F.max(F.when(F.startswith("key", F.lit("d:")), depth)), F.max(F.when(F.startswith("key", F.lit("u:")), F.size(F.split("key", "/"))))).first()

@@ -129,9 +129,9 @@ def _probe(shared, min_docs: int):
 
 def _hash_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for id_, text in zip(batch["id"], batch["text"]):
-            found = digests(list({line_key(x) for x in text.encode().split(b"\n")})).astype(np.uint64)
-            yield pd.DataFrame({"id": id_, "h1": found[:, 0].view(np.int64), "h2": found[:, 1].view(np.int64)}, index=range(len(found)))
+        of_doc = [list({line_key(x) for x in text.encode().split(b"\n")}) for text in batch["text"]]
+        found = digests([k for keys in of_doc for k in keys]).astype(np.uint64)
+        yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), [len(keys) for keys in of_doc]), "h1": found[:, 0].view(np.int64), "h2": found[:, 1].view(np.int64)})
 
 
 def _probe_routed(min_docs: int):

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.sources import shared_path, table
 
-__all__ = ["table", "text_of", "written"]
+__all__ = ["ship_package", "table", "text_of", "written"]
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application, so that they need not have it installed."""
+    package, app = Path(__file__).resolve().parents[1], spark.sparkContext.applicationId
+    if app in _shipped or not package.is_dir():
+        return
+    packed = Path(tempfile.mkdtemp(prefix="sievework-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(packed))
+    _shipped.add(app)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import text_of
+from sievework.llm.common import ship_package, text_of
 
 WINDOW = 10
 #: Words of a shard (a longer document is a shard alone); UTF-8 bytes of a block of the benchmark.
@@ -213,6 +213,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     id "". Items with equal ids count once. A column of the input named like ``out`` is replaced.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("id"), text_of(item_text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // block_bytes

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import mph
-from sievework.llm.common import text_of, written
+from sievework.llm.common import ship_package, text_of, written
 
 #: Documents with a line from which it is dropped, and the least code points of its key.
 MIN_DOCS, MIN_CHARS = 10, 1
@@ -95,6 +95,7 @@ class Shards:
 
 def common_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
     """The sharded index of the lines found in ``min_docs`` documents or more, and the bits of a hash that name its shard."""
+    ship_package(docs.sparkSession)
     counted = docs.select(text_of(text_col).alias("text")).mapInPandas(_counter(min_chars), "h1 long, h2 long, n long")
     common = written(counted.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs), "common-lines")
     bits = max(3, (common.count() // shard_keys).bit_length())

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import text_of, written
+from sievework.llm.common import ship_package, text_of, written
 
 #: Labelled rows that the model is fitted on, at most (in expectation).
 MAX_ROWS = 20_000
@@ -176,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     An id with different labels, a null one, or other values teach nothing. Beyond ``max_rows`` usable labels a
     share of them is drawn by the ids' hash. Only those rows' features come to the driver.
     """
+    ship_package(docs.sparkSession)
     usable = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
     usable = usable.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("id", "y")
     n = usable.count()
@@ -204,6 +205,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", meta: list[Col
 
     Null and empty texts are scored too, as empty. Equal texts with equal metadata score alike. A column of the input named like ``out`` is replaced.
     """
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import text_of
+from sievework.llm.common import ship_package, text_of
 
 #: UTF-8 bytes of a chunk, of the first overlap tried, and of the texts handed to the encoder at once.
 CHUNK_BYTES, OVERLAP_BYTES, BATCH_BYTES = 32_768, 512, 1_000_000
@@ -85,6 +85,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     Other columns are not read, so their names can't clash. The model file is read once on the driver (its
     size is fixed) and travels with the task.
     """
+    ship_package(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.common import written
+from sievework.llm.common import ship_package, written
 
 TABLES, PROBES, ROUNDS = 8, 16, 3
 #: Vectors, and queries, of one piece of a bucket.
@@ -77,22 +77,26 @@ def _hasher(tables: int, probes: int | None):
 
 def _rerank(top: int):
     def rank(key, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found_of, found_at, scores = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
+        first = vectors["first_id"].to_numpy()
         if len(vectors) and len(queries):
             v, q = np.stack(list(vectors["vec"])).astype(float), np.stack(list(queries["vec"])).astype(float)
-            unit, first, names = _unit(v), vectors["first_id"].to_numpy(), vectors["vkey"].to_numpy()
-            norms = np.sqrt((v * v).sum(axis=1))
+            unit, norms = _unit(v), np.sqrt((v * v).sum(axis=1))
             for a in range(0, len(q), 256):
                 block = q[a : a + 256]
                 coarse = _unit(block) @ unit.T
-                for i, row in enumerate(coarse):
-                    last = np.partition(row, -top)[-top] if len(row) > top else -np.inf
-                    at = np.flatnonzero(row >= last - MARGIN)
-                    # Products summed per pair: the same score in every bucket where the pair meets.
-                    score = (v[at] * block[i]).sum(axis=1) / (norms[at] * np.sqrt((block[i] * block[i]).sum()))
-                    best = np.lexsort((first[at], -score))[:top]
-                    out.append(pd.DataFrame({"qkey": queries["vkey"].iat[a + i], "vkey": names[at[best]], "first_id": first[at[best]], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"qkey": [], "vkey": [], "first_id": [], "score": []})
+                last = np.partition(coarse, -top, axis=1)[:, -top] if len(v) > top else np.full(len(block), -np.inf)
+                of, at = np.nonzero(coarse >= last[:, None] - MARGIN)
+                # Products summed per pair: the same score in every bucket where the pair meets.
+                score = (v[at] * block[of]).sum(axis=1) / (norms[at] * np.sqrt((block[of] * block[of]).sum(axis=1)))
+                order = np.lexsort((first[at], -score, of))
+                of, at, score = of[order], at[order], score[order]
+                best = np.arange(len(of)) - np.searchsorted(of, of) < top
+                found_of.append(of[best] + a)
+                found_at.append(at[best])
+                scores.append(score[best])
+        of, at = np.concatenate(found_of), np.concatenate(found_at)
+        return pd.DataFrame({"qkey": queries["vkey"].to_numpy()[of], "vkey": vectors["vkey"].to_numpy()[at], "first_id": first[at], "score": np.concatenate(scores)})
 
     return rank
 
@@ -123,6 +127,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     components, take no part; vectors of different length are never compared. Rows with equal ids are the query's own, and
     equal rows count once. Queries without other vectors of their length have no answer. Other columns are not read.
     """
+    ship_package(vectors.sparkSession)
     vec = F.col(f"`{vec_col}`").cast("array<double>")
     sound = ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vec, lambda x: x != 0)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & sound)

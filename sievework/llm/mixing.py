@@ -129,7 +129,9 @@ def mix_sources(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_c
     text can't be told apart and are taken or left together; other ties go by id, then text. A source of size 0
     has target 0 and takes nothing. Reruns give the same mix. An empty table gives an empty result.
     """
-    slim = written(drawn(docs, [], id_col, text_col, source_col, weight, seed), "mix-drawn")
+    # Texts are read once, unless they go on: then the keys are drawn again beside them, which costs less than moving them.
+    again = text_col in keep
+    slim = written(drawn(docs, [] if again else keep, id_col, text_col, source_col, weight, seed), "mix-drawn")
     cuts = cuts_of(slim, weights, share, most)
-    out = mixed(drawn(docs, keep, id_col, text_col, source_col, weight, seed), cuts)
+    out = mixed(drawn(docs, keep, id_col, text_col, source_col, weight, seed) if again else slim, cuts)
     return out.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)), "size", "source_size", "target", "copies", "taken")

@@ -21,7 +21,7 @@ from sievework.llm.common import text_of, written
 #: The number of cells, which bounds what the driver holds and what is broadcast.
 CELLS = 16_384
 #: Rows that one task numbers; a cell with more is numbered in several pieces.
-PIECE_ROWS = 50_000
+PIECE_ROWS = 1_000
 
 
 def differencing(sizes: dict[int, int], parts: int) -> dict[int, int]:

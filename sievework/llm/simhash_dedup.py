@@ -9,7 +9,9 @@ whole chain, whose last step is the full Hamming check.
 
 Equal fingerprints are one node from the start, so copies cost nothing. A key's nodes yield a star for each
 of their connected classes, never all their pairs; large and small stars (Kiveris et al., 2014) then join the
-stars across keys, each round written to the shared folder.
+stars across keys, each round written to the shared folder. Where many nodes meet under a key, its 32 free
+bits are split the same way: of their 4 bytes one is equal, and of the other 24 bits one of 4 groups of 6. So at
+most 2^18 nodes, of 4 bytes each, ever come together, however large a group of near copies is.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import text_of, written
+from sievework.llm.common import ship_package, text_of, written
 
 SEED, SEGMENTS, MAX_BITS = 42, 8, 3
 BUDGETS = [(n * MAX_BITS) // SEGMENTS for n in range(SEGMENTS + 1)]
 #: Nodes under one key from which a node's neighbours are looked up instead of compared one by one.
 MANY = 20_000
+#: Nodes under one key from which its free bits are split.
+SPLIT = 1 << 16
 #: Shingles whose bits are counted at once.
 BLOCK = 65_536
 
@@ -56,6 +60,7 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 def with_fingerprint(docs: DataFrame, keep: list[str], text_col: str = "text", width: int = 3) -> DataFrame:
     """The columns ``keep`` of ``docs`` and fp, the fingerprint as a signed long."""
+    ship_package(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -85,14 +90,13 @@ def viable_differences() -> np.ndarray:
     return masks[chain_holds(masks)]
 
 
-def classes(nodes: np.ndarray, start: int) -> list[np.ndarray]:
-    """The connected classes, of two nodes or more, of the nodes under one key of segment ``start``.
+def classes(nodes: np.ndarray) -> list[np.ndarray]:
+    """The connected classes, of two nodes or more, of nodes turned so that their chain starts at the top.
 
     Each node met is compared with those not yet met; from MANY nodes on, its possible neighbours (their
     number is fixed) are looked up instead, so time grows in proportion to the nodes.
     """
-    turn = 64 // SEGMENTS * start
-    left, found = np.sort(_turned(nodes, turn)), []
+    left, found = np.sort(nodes), []
     alive = np.ones(len(left), dtype=bool)
     first = 0
     while len(left) - first > 1:
@@ -121,16 +125,29 @@ def classes(nodes: np.ndarray, start: int) -> list[np.ndarray]:
             met.extend(left[at])
             todo.extend(left[at])
         if len(met) > 1:
-            found.append(_turned(np.array(met, dtype=np.uint64), 64 - turn))
+            found.append(np.array(met, dtype=np.uint64))
     return found
 
 
+#: Of the segments after the first two, which two a key holds and which one is left free.
+VARIANTS = ((2, 3, 4), (2, 4, 3), (3, 4, 2))
+
+
+def unpacked(key: int, free: np.ndarray) -> np.ndarray:
+    """The turned fingerprints of a key's nodes, from their free bits."""
+    x, y, z = VARIANTS[(key >> 32) % 3]
+    held = (key & 0xFFFF0000) << 32 | (key >> 8 & 255) << (56 - 8 * x) | (key & 255) << (56 - 8 * y)
+    free = free.astype(np.uint32).astype(np.uint64)
+    return np.uint64(held) | (free >> np.uint64(24)) << np.uint64(56 - 8 * z) | (free & np.uint64(0xFFFFFF))
+
+
 def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ends, centres = [], []
-        for key, nodes in zip(batch["key"], batch["nodes"]):
-            for c in classes(np.asarray(nodes, dtype=np.int64).view(np.uint64), (int(key) >> 32) // 3):
-                c = np.sort(c.view(np.int64))
+        for key, free in zip(batch["key"], batch["nodes"]):
+            turn = 64 // SEGMENTS * ((int(key) >> 32) // 3)
+            for c in classes(unpacked(int(key), np.asarray(free))):
+                c = np.sort(_turned(c, 64 - turn).view(np.int64))
                 ends.append(c[1:])
                 centres.append(np.full(len(c) - 1, c[0]))
         if ends:
@@ -138,16 +155,30 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (fp, distinct) -> links a > b between fingerprints, enough of them to keep every class of linked ones together."""
+    """``nodes`` (fp, distinct) -> links a > b between fingerprints, enough of them to keep every class of linked ones together.
+
+    A node under a key is the key (with the start and variant it is for) and the 32 bits that the key leaves free.
+    """
+    ship_package(nodes.sparkSession)
     keys = []
     for i in range(SEGMENTS):
         turned = f"((fp << {8 * i}) | shiftrightunsigned(fp, {64 - 8 * i}))" if i else "fp"
         segment = [f"(shiftrightunsigned({turned}, {56 - 8 * n}) & 255)" for n in range(5)]
-        for v, (x, y) in enumerate(((2, 3), (2, 4), (3, 4))):
-            keys.append(f"{3 * i + v}L << 32 | {segment[0]} << 24 | {segment[1]} << 16 | {segment[x]} << 8 | {segment[y]}")
-    keyed = nodes.select("fp", F.explode(F.array(*(F.expr(k) for k in keys))).alias("key"))
-    met = keyed.groupBy("key").agg(F.collect_list("fp").alias("nodes")).where(F.size("nodes") > 1)
-    return met.mapInPandas(_stars, "a long, b long").distinct()
+        for v, (x, y, z) in enumerate(VARIANTS):
+            key = f"{3 * i + v}L << 32 | {segment[0]} << 24 | {segment[1]} << 16 | {segment[x]} << 8 | {segment[y]}"
+            free = f"({segment[z]} << 24 | {turned} & 16777215L)"
+            keys.append(F.struct(F.expr(key).alias("key"), F.expr(f"cast({free} - 4294967296L * shiftrightunsigned({free}, 31) as int)").alias("free")))
+    keyed = nodes.select(F.explode(F.array(*keys)).alias("k")).select("k.key", "k.free")
+    met = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met-keys")
+    parts = []
+    for j in range(4):
+        byte, low = f"(shiftrightunsigned(free, {24 - 8 * j}) & 255)", 24 - 8 * j
+        above = f"shiftrightunsigned(free, {low + 8}) << {low} | " if j else ""
+        rest = f"({above}(free & {(1 << low) - 1}))"
+        parts += [f"{4 * j + m} << 14 | {byte} << 6 | (shiftrightunsigned({rest}, {18 - 6 * m}) & 63)" for m in range(4)]
+    part = F.when(F.col("n") <= SPLIT, F.array(F.lit(-1))).otherwise(F.array(*(F.expr(p) for p in parts)))
+    together = keyed.join(met, "key").withColumn("part", F.explode(part)).groupBy("key", "part").agg(F.collect_list("free").alias("nodes"))
+    return together.where(F.size("nodes") > 1).select("key", "nodes").mapInPandas(_stars, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

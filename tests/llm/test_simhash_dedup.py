@@ -59,26 +59,18 @@ def test_every_pair_in_reach_has_a_chain():
 def test_classes_compared_and_looked_up(monkeypatch, many):
     monkeypatch.setattr(s, "MANY", many)
     rng = random.Random(7)
-    base = rng.getrandbits(64)
-    # Differences outside the first two and the third and fourth segments from `start`, as under one key.
-    start = 3
-    free = [b for b in range(32)]
-    nodes = set()
+    base, nodes = rng.getrandbits(64), set()
     for _ in range(40):
-        x = 0
-        for b in rng.sample(free, rng.randrange(5)):
-            x |= 1 << b
-        nodes.add(base ^ int(s._turned(np.array([x], dtype=np.uint64), 64 - 24)[0]))
+        nodes.add(base ^ sum(1 << b for b in rng.sample(range(32), rng.randrange(5))))
     nodes = np.array(sorted(nodes), dtype=np.uint64)
-    got = {frozenset(c.tolist()) for c in s.classes(nodes, start)}
-    ok = lambda a, b: len(s.chain_holds(s._turned(np.array([a ^ b], dtype=np.uint64), 8 * start)))
+    got = {frozenset(c.tolist()) for c in s.classes(nodes)}
     left, want = set(nodes.tolist()), set()
     while left:
         todo, group = [left.pop()], set()
         while todo:
             a = todo.pop()
             group.add(a)
-            near = {b for b in left if ok(a, b)}
+            near = {b for b in left if len(s.chain_holds(np.array([a ^ b], dtype=np.uint64)))}
             left -= near
             todo += near
         if len(group) > 1:
@@ -94,8 +86,10 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert got == {i: (f"{f:016x}", least[f]) for i, f in fps}
 
 
-def test_components_of_dense_and_long_groups(spark):
+@pytest.mark.parametrize("split", [1 << 16, 1])
+def test_components_of_dense_and_long_groups(spark, monkeypatch, split):
     """Links between fingerprints of random walks: long chains of links, and dense balls."""
+    monkeypatch.setattr(s, "SPLIT", split)
     rng = random.Random(11)
     fps = []
     for _ in range(6):

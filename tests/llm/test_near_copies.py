@@ -1,0 +1,76 @@
+import random
+from itertools import combinations
+
+import numpy as np
+
+import corpus_pipeline as p
+from sievework.llm import near_copies as n
+
+
+def brute_shingles(text):
+    words = (text or "").split(" ")
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def brute_least(texts):
+    """The place of each text -> the least place that links of 0.8 or more lead to."""
+    least, sets = list(range(len(texts))), [brute_shingles(t) for t in texts]
+    for i, j in combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+            low, high = sorted((least[i], least[j]))
+            least = [low if x == high else x for x in least]
+    return least
+
+
+def varied():
+    """Texts, some with a few words changed: more bits than op6 links, some below 0.8."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    texts = []
+    for changes in (1, 2, 3, 4, 8):
+        for _ in range(6):
+            words = [word() for _ in range(127)]
+            texts.append(" ".join(words))
+            for at in rng.sample(range(127), changes):
+                words[at] = word()
+            texts.append(" ".join(words))
+    words = [word() for _ in range(200)]
+    for _ in range(100):  # a large group: a chain, each a word away from the one before
+        words[rng.randrange(200)] = word()
+        texts.append(" ".join(words))
+    return texts + ["a b", "a b c", "x y z w v"]
+
+
+def test_near_dedup_joins_changed_texts(spark):
+    texts = varied()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    least = brute_least(texts)
+    assert sorted(r.doc_id for r in p.near_dedup(spark, docs, "").collect()) == sorted(set(least))
+    assert len(set(least)) < len(texts) - 100
+
+
+def test_near_dedup_on_a_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect())
+    texts = [" ".join(b.decode() for b in (r.text or "").encode().lower().split()) for r in rows]
+    want = {rows[x].doc_id for x in brute_least(texts)}
+    assert {r.doc_id for r in p.near_dedup(spark, docs, sf_dir).collect()} == want
+
+
+def test_pairs_hold_every_class_together(monkeypatch):
+    monkeypatch.setattr(n, "ALL", 4)
+    monkeypatch.setattr(n, "NEAREST", 3)
+    rng = np.random.default_rng(5)
+    rows = []
+    base = rng.integers(0, 1 << 64, 5, dtype=np.uint64)
+    for shift in (0, 40):  # two tight groups, near enough to be one
+        other = base ^ np.array([(1 << shift) - 1, 0, 0, 0, 0], dtype=np.uint64)
+        rows += [other ^ np.array([0, 1 << k, 0, 0, 0], dtype=np.uint64) for k in range(12)]
+    rows += list(rng.integers(0, 1 << 64, (3, 5), dtype=np.uint64))
+    met = n.pairs(np.array(rows))
+    least = list(range(len(rows)))
+    for i, j in met.tolist():
+        low, high = sorted((least[i], least[j]))
+        least = [low if x == high else x for x in least]
+    assert least == [0] * 24 + [24, 25, 26] and len(met) < 24 * 4

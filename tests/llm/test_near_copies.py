@@ -50,6 +50,16 @@ def test_near_dedup_joins_changed_texts(spark):
     assert len(set(least)) < len(texts) - 100
 
 
+def test_near_dedup_of_rows_without_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    text, near, other = " ".join(words), " ".join(words[:-1] + ["x"]), " ".join(words[::-1])
+    rows = [(None, text), (7, near), (None, near), (None, other), (None, other), (None, other + " y"), (None, None), (None, " "), (3, "one"), (3, "two"), (3, "two"), (5, text), (5, near)]
+    got = [tuple(r) for r in p.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sorted(i for i, _ in got if i is not None) == [3, 3, 5] and {t for i, t in got if i == 3} == {"one", "two"}
+    unnamed = [t for i, t in got if i is None]
+    assert len(unnamed) == 2 and len({t or " " for t in unnamed} & {other, other + " y"}) == 1 and any(not (t or "").strip() for t in unnamed)
+
+
 def test_near_dedup_on_a_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sorted(docs.select("doc_id", "text").collect())

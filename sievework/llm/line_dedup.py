@@ -167,8 +167,8 @@ def drop_common_lines(docs: DataFrame, keep: list[str], id_col: str = "doc_id",
 
     Lines are split at \\n only; a null or empty text is one empty line. A line's key is the line without ASCII blanks at
     its ends, A-Z in lower case; keys of ``min_chars`` code points or more that ``min_docs`` rows or more have lose all
-    their lines. Rows are documents, repeated ones too. Ids are only used to bring answers back in the routed
-    form, where rows with equal ids get the same answer. Other columns are not read.
+    their lines. Rows are documents, repeated ones too. Answers are brought back in the routed
+    form by a hash of id and text. Other columns are not read.
     """
     index, shard_bits = common_lines(docs, text_col, min_docs, min_chars, shard_keys)
     text = text_of(text_col)
@@ -179,7 +179,9 @@ def drop_common_lines(docs: DataFrame, keep: list[str], id_col: str = "doc_id",
         return docs.select(*kept, _probe(shared, min_docs)(text).alias("__lines")).select(*kept, "__lines.*")
 
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    asked = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"), text.alias("text"))
+    # Of the id and the text, so that an answer never exceeds one document's lines.
+    own = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("\n"), text).cast("binary")).alias("id")
+    asked = docs.select(own, text.alias("text"))
     asked = asked.mapInPandas(_hash_lines, "id string, h1 long, h2 long")
     asked = asked.select(F.shiftrightunsigned("h1", 64 - shard_bits).cast("int").alias("shard"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), "id", "h1", "h2")
     # No nulls among the hashes: pandas would turn the column into floats.
@@ -188,6 +190,6 @@ def drop_common_lines(docs: DataFrame, keep: list[str], id_col: str = "doc_id",
     both = arrays.unionByName(asked, allowMissingColumns=True).repartition(int(n), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("id").asc_nulls_first())
     hits = both.mapInPandas(_probe_routed(min_docs), "id string, h1 long, h2 long").distinct()
     hits = hits.groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(keep)), text.alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(keep)), text.alias("text"), own)
     rows = rows.join(hits, "id", "left").withColumn("lines", _drop_given()("text", "gone.h1", "gone.h2"))
     return rows.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)), "lines.*")

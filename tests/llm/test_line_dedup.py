@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sievework.llm import line_dedup as d
@@ -56,3 +57,23 @@ def test_odd_rows(odd_docs, no_docs, broadcast_bytes):
     got = d.drop_common_lines(odd_docs, ["doc_id"], min_docs=3, broadcast_bytes=broadcast_bytes)
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 3, 1)
     assert d.drop_common_lines(no_docs, ["doc_id", "key"], broadcast_bytes=broadcast_bytes).count() == 0
+
+
+def test_routed_answers_hold_one_documents_lines(spark, monkeypatch):
+    """Rows without id or with equal ids: none is sent the lines of another."""
+    from pyspark.sql import functions as F
+
+    def sizes():
+        @F.pandas_udf(d.KEPT)
+        def size(texts: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame({"n_lines": [t.count("\n") + 1 for t in texts], "n_dropped": [0 if a is None else len(a) for a in h1], "kept": list(texts)})
+
+        return size
+
+    lines = [f"a line that is long enough to be dropped, number {i}" for i in range(12)]
+    rows = [(i, "\n".join(lines[k : k + 2])) for i in (None, 4) for k in range(0, 12, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    real = d.drop_common_lines(docs, ["doc_id"], min_docs=2, broadcast_bytes=0).collect()
+    assert len(real) == 12 and all((r.n_lines, r.n_dropped) == (2, 2) for r in real)
+    monkeypatch.setattr(d, "_drop_given", sizes)
+    assert [r.n_dropped for r in d.drop_common_lines(docs, ["doc_id"], min_docs=2, broadcast_bytes=0).collect()] == [2] * 12

@@ -122,10 +122,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = rf"""
 with d as (
-  select doc_id, source, coalesce(text, '') as text, coalesce(cast(doc_id as varchar), '') as id from documents
+  select doc_id, source, coalesce(text, '') as text, coalesce(cast(doc_id as varchar), '') as id, md5(coalesce(text, '')) as text_hash from documents
 ), k as (
-  select doc_id, source, id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as size,
-    -ln((('0x' || substr(md5(id || ':7'), 1, {mixing.UNIFORM_DIGITS}))::bigint + 1.0::double) / {float(16**mixing.UNIFORM_DIGITS)!r}::double)
+  select doc_id, source, id, text_hash, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as size,
+    -ln((('0x' || substr(md5(id || ':7:' || text_hash), 1, {mixing.UNIFORM_DIGITS}))::bigint + 1.0::double) / {float(16**mixing.UNIFORM_DIGITS)!r}::double)
       / greatest(0.05::double, (length(translate(text, '{mixing.NOISE}', '')) + 1.0::double) / (length(text) + 1.0::double)) as key
   from d
 ), s as (
@@ -144,7 +144,7 @@ with d as (
   select source, source_size, least(cap::double, (select arg_min(level, turn) from l where level * w <= cap) * w) as target from l
 ), p as (
   select k.*, source_size, target, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs,
-    sum(size) over (partition by k.source order by key, id rows between unbounded preceding and current row)::double as upto
+    sum(size) over (partition by k.source order by key, id, text_hash rows between unbounded preceding and current row)::double as upto
   from k join t on k.source is not distinct from t.source
 )
 select doc_id, size::bigint as size, source_size::bigint as source_size, target,

@@ -1,10 +1,9 @@
 """Sharding by Karmarkar-Karp differencing, under the law ``bytes``: shard sizes near equal.
 
-Rows with equal texts form an indivisible group. A hash of the text deals whole groups into ``CELLS``
-cells, however many groups there are; the cells' byte sums (a fixed number of them) go to the driver, where
+Rows with equal texts form an indivisible group. A group that holds its share of a cell or more is a cell of its own; a
+hash of the text deals the others, whole, into ``CELLS`` cells. The cells' byte sums (a bounded number of them) go to the driver, where
 multiway differencing starts from one partial partition per cell and again and again combines the two with
-the largest spread, the largest part of one with the smallest of the other. A group that is large beside
-the rest makes a large cell and so is met by the others' counterweight. Texts are never shuffled to
+the largest spread, the largest part of one with the smallest of the other. Texts are never shuffled to
 find their groups: equal texts have equal hashes.
 """
 
@@ -18,7 +17,7 @@ from pyspark.sql.window import Window
 
 from sievework.llm.common import text_of, written
 
-#: The number of cells, which bounds what the driver holds and what is broadcast.
+#: The number of cells of small groups, and the most groups that are cells of their own: bounds what the driver holds and what is broadcast.
 CELLS = 16_384
 #: Rows that one task numbers; a cell with more is numbered in several pieces.
 PIECE_ROWS = 1_000
@@ -50,7 +49,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
 
     size is the text's UTF-8 bytes plus 1. Null text counts as empty text. Every row gets a place, repeated
     rows too, each its own slot; slots of a shard count from 0 without gaps, in an order that depends only on
-    the rows. grown_shard is null under this law. Columns of the input that have one of these names are
+    the rows (among rows that agree in id and text, on where they were read). Such rows are numbered in pieces, however many there are. grown_shard is null under this law. Columns of the input that have one of these names are
     replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -63,19 +62,33 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("group"),
-    ).withColumn("cell", F.pmod("group", F.lit(CELLS)).cast("int"))
-    # An id decides the piece, the text's hash where there is no id.
-    lot = F.xxhash64(F.coalesce("id", F.lit("")), "group")
-
-    cells = rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    )
+    groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    # Not more than CELLS groups can be as large as that.
+    heavy = groups.where(F.col("bytes") * CELLS >= total).select("group", (F.lit(CELLS) + F.row_number().over(Window.partitionBy().orderBy("group")) - 1).alias("own"))
+    heavy = F.broadcast(written(heavy, "shard-heavy"))
+    cell = F.coalesce("own", F.pmod("group", F.lit(CELLS))).cast("int").alias("cell")
+    cells = groups.join(heavy, "group", "left").groupBy(cell).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect()
     part = differencing({r.cell: r.bytes for r in cells}, shards)
     places = spark.createDataFrame([(r.cell, part[r.cell], 1 + r.n // PIECE_ROWS) for r in cells], "cell int, shard int, pieces long")
-    placed = rows.join(F.broadcast(places), "cell").withColumn("piece", F.pmod(lot, "pieces")).drop("pieces")
+    # An id decides the piece, the text's hash where there is no id.
+    lot = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), "group"), "pieces")
+    placed = rows.join(heavy, "group", "left").withColumn("cell", cell).drop("own").join(F.broadcast(places), "cell").withColumn("piece", lot).withColumn("at", F.lit(0).cast("long"))
+
+    # Rows that agree in id and text have one lot: where they are many, their places in the table deal them out.
+    alike = placed.groupBy("id", "group").agg(F.count("*").alias("rows"), F.max("pieces").alias("most")).where(F.col("rows") > PIECE_ROWS)
+    alike = written(alike.select(F.col("id").alias("many_id"), F.col("group").alias("many_group"), F.lit(True).alias("many")), "shard-alike")
+    if not alike.isEmpty():
+        placed = placed.join(alike, F.col("id").eqNullSafe(F.col("many_id")) & (F.col("group") == F.col("many_group")), "left").drop("many_id", "many_group")
+        many = written(placed.where("many").withColumn("at", F.monotonically_increasing_id()), "shard-many")
+        many = many.withColumn("piece", F.lit(1 << 32) + F.expr(f"at div {PIECE_ROWS}"))
+        placed = placed.where("many is null").unionByName(many)
 
     by_shard = Window.partitionBy("shard").orderBy("cell", "piece").rowsBetween(Window.unboundedPreceding, -1)
     before = written(placed.groupBy("shard", "cell", "piece").agg(F.count("*").alias("n")), "shard-pieces")
     before = before.select("cell", "piece", F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("before"))
-    in_piece = Window.partitionBy("cell", "piece").orderBy("id", "group", "size")
+    in_piece = Window.partitionBy("cell", "piece").orderBy("id", "group", "at")
     numbered = placed.withColumn("at", F.row_number().over(in_piece))
     return numbered.join(before, ["cell", "piece"]).select(
         *(F.col(f"in_{i}").alias(c) for i, c in enumerate(kept)),

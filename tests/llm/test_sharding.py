@@ -1,6 +1,10 @@
+import random
 import zlib
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from sievework.llm import queries, sharding
 
 
@@ -29,8 +33,6 @@ def test_query(spark, sf_dir):
 
 
 def test_differencing_against_greedy():
-    import random
-
     rng = random.Random(3)
     sizes = {i: int(rng.paretovariate(1.3) * 1000) for i in range(400)}
     part = sharding.differencing(sizes, 7)
@@ -44,6 +46,40 @@ def test_differencing_against_greedy():
     assert sharding.differencing({}, 3) == {} and sharding.differencing({4: 9}, 1) == {4: 0}
 
 
+def greedy(sizes, parts):
+    loads = [0] * parts
+    for s in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += s
+    return max(loads) - min(loads)
+
+
+@pytest.mark.parametrize("cells", [16_384, 1_024])
+def test_spread_no_worse_than_greedy_over_groups(spark, monkeypatch, cells):
+    """Skewed sizes, groups of copies among them. With few cells the small groups share them and the heavy ones don't."""
+    monkeypatch.setattr(sharding, "CELLS", cells)
+    rng = random.Random(9)
+    groups = [(f"{i} " + "x" * int(rng.paretovariate(1.4) * 40), 1 + (i % 17 == 0) * rng.randrange(30)) for i in range(1500)]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(t for t, k in groups for _ in range(k))], "doc_id long, text string")
+    rows = sharding.assign_shards(docs, shards=5).collect()
+    lawful(rows, 5)
+    loads = defaultdict(int)
+    for r in rows:
+        loads[r.shard] += r["size"]
+    assert max(loads.values()) - min(loads.values()) <= max(greedy([(len(t) + 1) * k for t, k in groups], 5), 64)
+
+
+def test_identical_rows_are_numbered_in_pieces(spark, monkeypatch):
+    """Rows that agree in id and text, null ones too: every piece is bounded."""
+    rows = sharding.assign_shards(spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "id"))
+    with_pieces = rows.collect()
+    lawful(with_pieces)
+    assert len({r.id for r in with_pieces}) == 100_000
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 10)
+    docs = spark.createDataFrame([(1, "a")] * 95 + [(None, "b")] * 45 + [(2, "c"), (3, "a")], "doc_id long, text string").repartition(3)
+    few = sharding.assign_shards(docs)
+    lawful(few.collect())
+
+
 def test_pieces_of_a_hot_cell(spark, monkeypatch):
     monkeypatch.setattr(sharding, "PIECE_ROWS", 10)
     docs = spark.createDataFrame([(i, "same" if i % 2 else f"t{i}") for i in range(300)], "doc_id long, text string")

@@ -4,8 +4,9 @@ A text longer than ``chunk_bytes`` is encoded as overlapping chunks with byte of
 chunks are spliced at a boundary that both encodings have and that is *proven* stable: the two characters
 around it stand side by side in no piece of the vocabulary. A merge only ever builds pieces of the
 vocabulary, so none can reach across such a place, whatever text stands further off; what is counted left
-and right of it is what one pass over the whole text would give. Where an overlap holds no such place it is
-doubled, in the end up to the whole text. Shorter texts are encoded in one go.
+and right of it is what one pass over the whole text would give. An overlap is made as wide as the last such place needs, and
+doubled where the encodings still don't agree. Where a chunk has no such place at all it grows, by twice as much each time, so that what is
+encoded stays in proportion to the text. Shorter texts are encoded in one go.
 """
 
 from __future__ import annotations
@@ -56,25 +57,35 @@ def spliced_count(sp, joined: set[str], text: str, chunk: int = CHUNK_BYTES, ove
     def starts(a: int, b: int) -> list[int]:
         return [a + p.begin for p in sp.encode(data[a:b].decode(), return_type="proto", num_threads=1).pieces]
 
-    total, cut, a, b = 0, 0, 0, _char_start(data, min(chunk, len(data)))
-    here = starts(a, b)
+    def last_place(low: int, high: int) -> int | None:
+        """The last proven place between ``low`` and ``high``, without them."""
+        at = high
+        while (at := _char_start(data, at - 1)) > low:
+            if _proven(data, at, joined):
+                return at
+        return None
+
+    total, cut, a, b, grow = 0, 0, 0, _char_start(data, min(chunk, len(data))), chunk
+    here, searched = starts(a, b), cut
     while b < len(data):
-        width, splice = overlap, None
-        while splice is None:
-            c = _char_start(data, b - width) if b - width > cut else cut
-            d = _char_start(data, min(c + max(chunk, 2 * width), len(data)))
-            there = starts(c, d)
-            common = set(here) & set(there)
-            splice = next((p for p in sorted(common, reverse=True) if max(c, cut) < p < b and _proven(data, p, joined)), None)
-            if splice is None and c == cut:  # nothing in the whole chunk: let it grow
-                b = _char_start(data, min(b + chunk, len(data)))
-                here = starts(a, b)
-                if b == len(data):
-                    return total + sum(p >= cut for p in here)
-            elif splice is None:
+        place, splice = last_place(max(cut, searched), b), None
+        if place is not None:
+            width, own = max(overlap, 2 * (b - place)), set(here)
+            while splice is None:
+                c = max(cut, _char_start(data, max(0, b - width)))
+                d = _char_start(data, min(c + max(chunk, 2 * width), len(data)))
+                there = starts(c, d)
+                splice = next((p for p in reversed(there) if max(c, cut) < p < b and p in own and _proven(data, p, joined)), None)
+                if c == cut:
+                    break
                 width *= 2
-        total += sum(cut <= p < splice for p in here)
-        cut, a, b, here = splice, c, d, there
+        if splice is None:  # nothing in the whole chunk: let it grow
+            searched = b - 1
+            b, grow = _char_start(data, min(b + grow, len(data))), 2 * grow
+            here = starts(a, b)
+        else:
+            total += sum(cut <= p < splice for p in here)
+            cut, a, b, here, grow, searched = splice, c, d, there, chunk, splice
     return total + sum(p >= cut for p in here)
 
 

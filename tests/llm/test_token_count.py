@@ -28,6 +28,32 @@ def test_widens_where_nothing_aligns(model, text):
     assert token_count.spliced_count(sp, joined, text, 200, 10) == len(sp.encode(text))
 
 
+class Counting:
+    """The processor, adding up the bytes that it encodes."""
+
+    def __init__(self, sp):
+        self.sp, self.n_bytes = sp, 0
+
+    def encode(self, text, **how):
+        self.n_bytes += len(text.encode())
+        return self.sp.encode(text, **how)
+
+    def normalize(self, text):
+        return self.sp.normalize(text)
+
+
+@pytest.mark.parametrize("kind", ["dna", "letter", "blanks", "prose", "late"])
+def test_work_stays_in_proportion(model, kind):
+    """Texts without a stable place, and prose, at 800 k: not more than five times their bytes are encoded."""
+    sp, joined = token_count.encoder(model)
+    rng = random.Random(1)
+    n = 800_000
+    text = {"dna": "".join(rng.choices("ACGT", k=n)), "letter": "a" * n, "blanks": " " * n, "prose": "The quick brown fox, they say. " * (n // 31), "late": "a" * (n // 2) + " the end of it" * (n // 28)}[kind]
+    counting = Counting(sp)
+    assert token_count.spliced_count(counting, joined, text) == len(sp.encode(text))
+    assert counting.n_bytes <= (1.2 if kind == "prose" else 5) * len(text)
+
+
 def test_query_equals_library(spark, sf_dir, model):
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}

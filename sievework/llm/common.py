@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievework.sources import shared_path, table
 
-__all__ = ["ship_package", "table", "text_of", "written"]
+__all__ = ["fresh", "remove", "scratch", "shared_path", "ship_package", "table", "text_of", "written"]
 
 _shipped: set[str] = set()
 
@@ -29,13 +32,46 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: The folder that written() fills at present, if not the shared one itself.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder of the shared folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What written() writes inside is deleted at the end, so results must have been written elsewhere by then."""
+    folder = shared_path(spark, "scratch")
+    token = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        remove(spark, folder)
+
+
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends here, and a lost executor costs nothing."""
-    path = shared_path(df.sparkSession, label)
+    if path is None:
+        path = shared_path(df.sparkSession, label)
+        if folder := _scratch.get():
+            path = f"{folder}/{path.rpartition('/')[2]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it, that no column of ``df`` has; Spark tells no cases apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_of(column: str) -> Column:
     """The column as text; null counts as empty."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))

@@ -4,24 +4,25 @@ Documents are cut into shards of a bounded number of words; each shard gets a su
 with a separator of its own after every document. Every suffix of every benchmark item is searched in every shard by
 binary search, one word deeper at a time: where the interval of the array runs empty is the
 longest verbatim match, and the interval at the depth of a window holds all places where the window occurs.
-Documents stay where they are; only the benchmark travels, in blocks of a bounded size.
+Documents stay where they are; only the benchmark travels, in blocks of a bounded size. A shard's suffix array is built once and meets the
+blocks one after the other, each loaded from the executor's disk and let go again, so a task holds one shard and one block.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import ship_package, text_of
+from sievework.llm.common import fresh, ship_package, text_of
 
 WINDOW = 10
-#: Words of a shard (a longer document is a shard alone); UTF-8 bytes of a block of the benchmark.
-SHARD_WORDS, BLOCK_BYTES = 1 << 19, 8_000_000
+#: Words of a shard (a longer document is a shard alone); UTF-8 bytes of a block of the benchmark, and of all blocks that are sent out for one search.
+SHARD_WORDS, BLOCK_BYTES, MOST_BYTES = 1 << 19, 8_000_000, 1_000_000_000
 #: Fixed pattern: in UTF-8 no other byte belongs to a word.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOUND = "n_words long, n_hit long, items array<string>, starts array<long>, ends array<long>, longest long, longest_at long, longest_item string"
@@ -103,9 +104,8 @@ class Block:
         self.depth = np.where(self.room >= whole, whole, 0)
 
 
-def search_shard(words: np.ndarray, vocabulary: dict, doc_of: np.ndarray, block: Block):
-    """(start, end) of window occurrences, (document, item) pairs, and (document, length, place, item) of long matches."""
-    sa = suffix_array(words)
+def search_shard(words: np.ndarray, sa: np.ndarray, vocabulary: dict, doc_of: np.ndarray, block: Block):
+    """(start, end) of window occurrences, (document, item) pairs, and (document, length, place, item) of long matches, the first place and item of each length."""
     known = np.array([vocabulary.get(w, -1) for w in block.vocabulary], dtype=np.int64)
     query = known[block.words]
     padded = np.concatenate([words, np.full(int(block.room.max()) + 1, -2, dtype=np.int64)])
@@ -134,7 +134,9 @@ def search_shard(words: np.ndarray, vocabulary: dict, doc_of: np.ndarray, block:
         if (deep := (window > 0) & (window <= depth)).any():
             low_once, first = np.unique(low[deep], return_index=True)
             places, owner = _ranges(low_once, high[deep][first])
-            docs, one = np.unique(doc_of[sa[places]], return_index=True)
+            by_place = np.argsort(sa[places])
+            docs, one = np.unique(doc_of[sa[places]][by_place], return_index=True)
+            one = by_place[one]
             long.append((docs, np.full(len(docs), depth), sa[places[one]], block.item[active[deep][first][owner[one]]]))
         more = block.room[active] > depth
         active, low, high = active[more], low[more], high[more]
@@ -143,8 +145,8 @@ def search_shard(words: np.ndarray, vocabulary: dict, doc_of: np.ndarray, block:
     return spans, pairs, long
 
 
-def search_texts(texts: list[str], block: Block, shard_words: int = SHARD_WORDS) -> list[tuple]:
-    """A tuple of the fields of FOUND for each text."""
+def search_texts(texts: list[str], blocks: Iterable[Block], shard_words: int = SHARD_WORDS) -> list[tuple]:
+    """A tuple of the fields of FOUND for each text. ``blocks`` is gone through once for each shard."""
     found, at = [], 0
     while at < len(texts):
         vocabulary, parts, sizes = Vocabulary(), [], []
@@ -161,87 +163,88 @@ def search_texts(texts: list[str], block: Block, shard_words: int = SHARD_WORDS)
             words[starts[n] : starts[n] + len(p)] = p
             words[starts[n + 1] - 1] = len(vocabulary) + n
         doc_of = np.repeat(np.arange(len(sizes)), np.array(sizes) + 1)
-        spans, pairs, long = search_shard(words, vocabulary, doc_of, block) if len(block.words) else ([], [], [])
 
-        out = [[s, 0, [], [], [], 0, None, None] for s in sizes]
-        if spans:
-            step = np.zeros(len(words) + 1, dtype=np.int64)
+        sa, step = suffix_array(words), np.zeros(len(words) + 1, dtype=np.int64)
+        items, longest = [set() for _ in sizes], [(0, 0, "")] * len(sizes)
+        for block in blocks:
+            spans, pairs, long = search_shard(words, sa, vocabulary, doc_of, block) if len(block.words) else ([], [], [])
             for a, b in spans:
                 step[a] += 1  # windows of one length never share a place
                 step[b] -= 1
-            hit = np.cumsum(step[:-1]) > 0
-            edge = np.diff(np.r_[False, hit, False].astype(np.int8))
-            for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-                row = out[doc_of[a]]
-                row[1] += b - a
-                row[3].append(a - int(starts[doc_of[a]]))
-                row[4].append(b - int(starts[doc_of[a]]))
-            for docs, lengths, places, items in long:
-                for d, n, p, i in zip(docs.tolist(), lengths.tolist(), places.tolist(), items.tolist()):
-                    if n > out[d][5]:
-                        out[d][5:] = [n, p - int(starts[d]), block.ids[i]]
-            for d, i in np.unique(np.concatenate(pairs), axis=0).tolist():
-                out[d][2].append(block.ids[i])
-        found += [tuple(r[:2]) + (sorted(set(r[2])),) + tuple(r[3:]) for r in out]
+            for d, i in np.concatenate(pairs).tolist() if pairs else []:
+                items[d].add(block.ids[i])
+            for docs, lengths, places, of in long:
+                for d, n, p, i in zip(docs.tolist(), lengths.tolist(), places.tolist(), of.tolist()):
+                    # The longest; of these the first place, then the least item.
+                    if n > longest[d][0] or n == longest[d][0] and (p, block.ids[i]) < longest[d][1:]:
+                        longest[d] = (n, p, block.ids[i])
+        edge = np.diff(np.r_[False, np.cumsum(step[:-1]) > 0, False].astype(np.int8))
+        out = [[s, 0, sorted(held), [], [], n, p - int(starts[d]) if n else None, i if n else None] for d, (s, held, (n, p, i)) in enumerate(zip(sizes, items, longest))]
+        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+            row = out[doc_of[a]]
+            row[1] += b - a
+            row[3].append(a - int(starts[doc_of[a]]))
+            row[4].append(b - int(starts[doc_of[a]]))
+        found += map(tuple, out)
     return found
 
 
-def union_length(starts: list[int], ends: list[int]) -> int:
-    total, reached = 0, 0
-    for a, b in sorted(zip(starts, ends)):
-        total += max(0, b - max(a, reached))
-        reached = max(reached, b)
-    return total
+class Sent:
+    """Blocks that were broadcast. More than one are loaded from disk in turn, and not kept."""
 
+    def __init__(self, shared: list):
+        self.shared = shared
 
-def _searcher(shared, shard_words: int):
+    def __iter__(self) -> Iterator[Block]:
+        for block in self.shared:
+            yield block.value
+            if len(self.shared) > 1 and getattr(block, "_path", None):
+                vars(block).pop("_value", None)
+
+
+def _searcher(sent: Sent, shard_words: int):
     @F.pandas_udf(FOUND)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame(search_texts(list(texts), shared.value, shard_words), columns=[x.split()[0] for x in FOUND.split(", ")])
+            yield pd.DataFrame(search_texts(list(texts), sent, shard_words), columns=[x.split()[0] for x in FOUND.split(", ")])
 
     return search
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
+    """id and text of the items, and the bytes of all texts."""
+    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("id"), text_of(item_text_col).alias("text"))
+    return items, items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, out: str = "found", shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs``, all columns, with a struct ``out`` of the fields of FOUND.
 
     n_hit counts the document's words inside any occurrence of a window (``window`` consecutive words of an item, or a shorter
     item whole); starts and ends are the merged stretches of such words, items the ids (as strings, sorted) of
     items with such a window; longest, longest_at and longest_item are the longest verbatim match that holds a window and
-    where in the document it is. Null texts and texts without words match nothing, nor do such items. A null item_id counts as the
-    id "". Items with equal ids count once. A column of the input named like ``out`` is replaced.
+    where in the document it is (ties: the first place, then the least item). Null texts and texts without words match nothing, nor do such items. A null item_id counts as the
+    id "". Items with equal ids count once. A column of the input named like ``out`` is replaced. A benchmark of more than MOST_BYTES is an error: it would be
+    too much to send to every executor; ``decontaminated`` takes one of any size.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("id"), text_of(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + size // block_bytes
-    text = text_of(text_col)
-    columns = []
-    for n in range(blocks):
+    items, size = _items(benchmark, item_col, item_text_col)
+    if size > MOST_BYTES:
+        raise ValueError(f"a benchmark of {size} bytes; at most {MOST_BYTES} are searched at once")
+    blocks, shared = 1 + size // block_bytes, []
+    for n in range(blocks):  # one at a time on the driver
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == n).collect()
-        shared = spark.sparkContext.broadcast(Block(sorted((r.id, words_of(r.text)) for r in rows), window))
-
-        columns.append(_searcher(shared, shard_words)(text))
-    if blocks == 1:
-        return docs.withColumn(out, columns[0])
-
-    @F.pandas_udf("long")
-    def merged(starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([union_length(a, b) for a, b in zip(starts, ends)], dtype="int64")
-
-    names = [f"{out}__{n}" for n in range(blocks)]
-    docs = docs.withColumns(dict(zip(names, columns)))
-    every = {k: F.array(*(F.col(f"{n}.{k}") for n in names)) for k in ("items", "starts", "ends")}
-    best = F.array_max(F.array(*(F.struct(F.col(f"{n}.longest").alias("longest"), F.col(f"{n}.longest_at").alias("longest_at"), F.col(f"{n}.longest_item").alias("longest_item")) for n in names)))
-    starts, ends = F.flatten(every["starts"]), F.flatten(every["ends"])
-    items = F.array_sort(F.array_distinct(F.flatten(every["items"])))
-    parts = [F.col(f"{names[0]}.n_words").alias("n_words"), merged(starts, ends).alias("n_hit"), items.alias("items"), starts.alias("starts"), ends.alias("ends")]
-    return docs.withColumn(out, F.struct(*parts, *(best[k].alias(k) for k in ("longest", "longest_at", "longest_item")))).drop(*names)
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that hold a window of the benchmark; same columns."""
-    found = "__found"
-    return find_matches(docs, benchmark, out=found, **how).where(F.col(f"{found}.n_hit") == 0).drop(found)
+        shared.append(spark.sparkContext.broadcast(Block(sorted((r.id, words_of(r.text)) for r in rows), window)))
+    return docs.withColumn(out, _searcher(Sent(shared), shard_words)(text_of(text_col)))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the documents that hold a window of the benchmark; same columns. A benchmark of more than MOST_BYTES is searched in parts."""
+    found = fresh(docs, "found")
+    items, size = _items(benchmark, item_col, item_text_col)
+    parts = 1 + size // (MOST_BYTES // 2)
+    for n in range(parts):
+        part = items.where(F.pmod(F.xxhash64("text", "id"), F.lit(parts)) == n) if parts > 1 else items
+        docs = find_matches(docs, part, item_col="id", item_text_col="text", out=found, **how).where(F.col(f"`{found}`.n_hit") == 0).drop(found)
+    return docs

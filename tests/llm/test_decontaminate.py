@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from sievework.llm import decontaminate as d
 
@@ -46,10 +47,10 @@ def test_search_equals_brute_force():
         docs = [text(rng.randrange(30)) for _ in range(5)] + ["", items[0][1] + " x"]
         block = d.Block([(str(i), d.words_of(t or "")) for i, t in items], 4)
         for size in (1, 20, 10**6):
-            for t, got in zip(docs, d.search_texts(docs, block, size), strict=True):
+            for t, got in zip(docs, d.search_texts(docs, [block], size), strict=True):
                 words, n_hit, holders, longest = brute(t, items, 4)
                 assert (got[0], got[1], got[2], got[5]) == (words, n_hit, holders, longest)
-                assert d.union_length(got[3], got[4]) == n_hit
+                assert sum(b - a for a, b in zip(got[3], got[4])) == n_hit and all(b < c for b, c in zip(got[4], got[3][1:]))
                 if longest:
                     own = next(WORD.findall(low(x)) for i, x in items if str(i) == got[7] and " ".join(WORD.findall(low(t))[got[6] : got[6] + longest]) in " ".join(WORD.findall(low(x))))
                     assert longest <= len(own)
@@ -60,15 +61,23 @@ def test_query_equals_sql(same_as_sql):
     assert any(r[0] for r in rows) and not all(r[0] for r in rows)
 
 
-def test_blocks_give_the_same(spark, sf_dir):
+def test_blocks_give_the_same(spark, sf_dir, monkeypatch):
+    """All fields, ties of the longest match among them, in one pass over the texts whatever the number of blocks."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    one, many = (
-        {r.doc_id: (r.found.n_words, r.found.n_hit, r.found.items, r.found.longest) for r in d.find_matches(docs, bench, block_bytes=b).collect()} for b in (10**8, 3000)
-    )
-    assert one == many
-    clean = d.decontaminated(docs, bench)
-    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {k for k, v in one.items() if not v[1]}
+    bench = bench.union(bench.selectExpr("item_id + 100", "text"))
+    found = [d.find_matches(docs, bench, block_bytes=b) for b in (10**8, 3000)]
+    one, many = ({r.doc_id: tuple(r.found) for r in f.collect()} for f in found)
+    assert one == many and any(x[5] for x in one.values())
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in found]
+    assert [p.count("ArrowEvalPython") for p in plans] == [1, 1]
+    clean = {k for k, v in one.items() if not v[1]}
+    assert d.decontaminated(docs, bench).columns == docs.columns
+    assert {r.doc_id for r in d.decontaminated(docs, bench).collect()} == clean
+    monkeypatch.setattr(d, "MOST_BYTES", 20_000)  # a benchmark too large to be sent out at once
+    assert {r.doc_id for r in d.decontaminated(docs, bench, block_bytes=3000).collect()} == clean
+    with pytest.raises(ValueError, match="at once"):
+        d.find_matches(docs, bench.union(bench))
 
 
 def test_odd_rows(spark, odd_docs, no_docs):

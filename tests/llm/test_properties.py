@@ -57,9 +57,3 @@ def test_line_keys(text):
     for line in text.split("\n"):
         key = line_dedup.line_key(line.encode()).decode()
         assert key == "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
-
-
-@FEW
-@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 12)), max_size=12))
-def test_union_length(spans):
-    assert decontaminate.union_length([a for a, _ in spans], [a + n for a, n in spans]) == len({x for a, n in spans for x in range(a, a + n)})

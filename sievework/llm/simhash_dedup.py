@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import ship_package, text_of, written
+from sievework.llm.mph import STEP, _mixed
 
 SEED, SEGMENTS, MAX_BITS = 42, 8, 3
 BUDGETS = [(n * MAX_BITS) // SEGMENTS for n in range(SEGMENTS + 1)]
@@ -58,6 +59,32 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
+def fingerprints(texts, rings: int) -> np.ndarray:
+    """A row for each text: SimHashes of its distinct words, each counted once, for each ring with its own mix of the words' hashes; no words: 0."""
+    out, h = np.zeros((len(texts), rings), dtype=np.uint64), xxhash.xxh64_intdigest
+    known: dict[bytes, int] = {}
+    steps = STEP * np.arange(rings, dtype=np.uint64)
+    # A byte for each bit: 255 words add up as whole integers before a byte could run over.
+    bits = np.empty((BLOCK, 64 * rings), dtype=np.uint8)
+    lanes = bits.view(np.uint64)
+    for n, text in enumerate(texts):
+        words, counts = list(set(text.encode().lower().split())), np.zeros(64 * rings, dtype=np.int64)
+        for a in range(0, len(words), BLOCK):
+            some = words[a : a + BLOCK]
+            if len(known) + len(some) > BLOCK:
+                known.clear()
+            if new := [w for w in some if w not in known]:
+                hashes = np.fromiter(map(h, new, repeat(SEED)), dtype=np.uint64, count=len(new))
+                turned = np.stack([_mixed(hashes + s) for s in steps], axis=1).astype("<u8")
+                bits[len(known) : len(known) + len(new)] = np.unpackbits(turned.view(np.uint8), axis=1, bitorder="little")
+                known.update(zip(new, range(len(known), len(known) + len(new))))
+            at = np.fromiter(map(known.__getitem__, some), dtype=np.int64, count=len(some))
+            for k in range(0, len(at), 255):
+                counts += lanes[at[k : k + 255]].sum(axis=0).view(np.uint8)
+        out[n] = np.packbits(counts * 2 > len(words), bitorder="little").view("<u8")
+    return out
+
+
 def with_fingerprint(docs: DataFrame, keep: list[str], text_col: str = "text", width: int = 3) -> DataFrame:
     """The columns ``keep`` of ``docs`` and fp, the fingerprint as a signed long."""
     ship_package(docs.sparkSession)
@@ -145,7 +172,7 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ends, centres = [], []
         for key, free in zip(batch["key"], batch["nodes"]):
-            turn = 64 // SEGMENTS * ((int(key) >> 32) // 3)
+            turn = ring_of(int(key))[1]
             for c in classes(unpacked(int(key), np.asarray(free))):
                 c = np.sort(_turned(c, 64 - turn).view(np.int64))
                 ends.append(c[1:])
@@ -154,21 +181,38 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": np.concatenate(ends), "b": np.concatenate(centres)})
 
 
+def keys_and_free(fps: np.ndarray, ring: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each start and variant (rows) and fingerprint (columns) the key and the 32 bits that it leaves free. A key also tells ring, start and variant."""
+    keys, free = [], []
+    for i in range(SEGMENTS):
+        turned = _turned(fps, 64 // SEGMENTS * i)
+        segment = [turned >> np.uint64(56 - 8 * n) & np.uint64(255) for n in range(5)]
+        for v, (x, y, z) in enumerate(VARIANTS):
+            start = np.uint64((3 * (SEGMENTS * ring + i) + v) << 32)
+            keys.append((start | turned >> np.uint64(48) << np.uint64(16) | segment[x] << np.uint64(8) | segment[y]).view(np.int64))
+            free.append((segment[z] << np.uint64(24) | turned & np.uint64(0xFFFFFF)).astype(np.uint32).view(np.int32))
+    return np.stack(keys), np.stack(free)
+
+
+def ring_of(key: int) -> tuple[int, int]:
+    """The ring that a key is for, and the bits to turn it so that the chain starts at the top."""
+    ring, start = divmod((key >> 32) // 3, SEGMENTS)
+    return ring, 64 // SEGMENTS * start
+
+
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        key, free = keys_and_free(batch["fp"].to_numpy().view(np.uint64))
+        yield pd.DataFrame({"key": key.ravel(), "free": free.ravel()})
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """``nodes`` (fp, distinct) -> links a > b between fingerprints, enough of them to keep every class of linked ones together.
 
     A node under a key is the key (with the start and variant it is for) and the 32 bits that the key leaves free.
     """
     ship_package(nodes.sparkSession)
-    keys = []
-    for i in range(SEGMENTS):
-        turned = f"((fp << {8 * i}) | shiftrightunsigned(fp, {64 - 8 * i}))" if i else "fp"
-        segment = [f"(shiftrightunsigned({turned}, {56 - 8 * n}) & 255)" for n in range(5)]
-        for v, (x, y, z) in enumerate(VARIANTS):
-            key = f"{3 * i + v}L << 32 | {segment[0]} << 24 | {segment[1]} << 16 | {segment[x]} << 8 | {segment[y]}"
-            free = f"({segment[z]} << 24 | {turned} & 16777215L)"
-            keys.append(F.struct(F.expr(key).alias("key"), F.expr(f"cast({free} - 4294967296L * shiftrightunsigned({free}, 31) as int)").alias("free")))
-    keyed = nodes.select(F.explode(F.array(*keys)).alias("k")).select("k.key", "k.free")
+    keyed = nodes.select("fp").mapInPandas(_keyed, "key long, free int")
     met = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met-keys")
     parts = []
     for j in range(4):

@@ -1,14 +1,16 @@
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline as p
-from sievework.llm import decontaminate, mixing, queries
+from sievework import sources
+from sievework.llm import queries
 
-from .test_decontaminate import brute
-from .test_simhash_dedup import brute_components, brute_fingerprint
+from .test_near_copies import brute_least
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,28 +37,37 @@ def test_quality(spark, stages):
 
 def test_near_dedup(stages):
     before, after = stages["near_dedup"]
-    least = brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in before])
-    assert sorted(r.doc_id for r in after) == sorted({least[brute_fingerprint(r.text)] for r in before})
-    assert len(after) < len(before)
+    rows = sorted(before, key=lambda r: r.doc_id)
+    least = brute_least([" ".join(b.decode() for b in (r.text or "").encode().lower().split()) for r in rows])
+    want, kept = {rows[x].doc_id for x in least}, [r.doc_id for r in after]
+    assert want <= set(kept) and len(kept) == len(set(kept))
+    assert len(kept) - len(want) <= 0.05 * (len(before) - len(want))
 
 
-def test_decontaminate(spark, stages):
+def sql_rows(sql, docs, more=""):
+    """The rows of a query's SQL with a stage's input as the documents."""
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", [(r.doc_id, r.text, r.source) for r in docs])
+    con.sql(f"create view benchmark as select * from read_parquet('{SF}/benchmark.parquet')")
+    found = con.sql(sql)
+    return [dict(zip(found.columns, r)) for r in found.fetchall()]
+
+
+def test_decontaminate(stages):
+    """Every document, against op4's SQL on the stage's own input."""
     before, after = stages["decontaminate"]
-    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    block = decontaminate.Block([(str(i), decontaminate.words_of(t)) for i, t in bench], decontaminate.WINDOW)
-    hit = {r.doc_id for r, f in zip(before, decontaminate.search_texts([r.text for r in before], block)) if f[1]}
-    for r in before[:15]:
-        assert (brute(r.text, bench, decontaminate.WINDOW)[1] > 0) == (r.doc_id in hit)
-    assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before if r.doc_id not in hit) and hit
+    clean = {r["doc_id"] for r in sql_rows(queries.OP4_SQL, before) if not r["contaminated"]}
+    assert sorted(r.doc_id for r in after) == sorted(clean) and len(clean) < len(before)
 
 
-def test_mix(spark, stages):
+def test_mix(stages):
+    """Every document, against op5's SQL on the stage's own input; a text without words adds nothing however often it is taken."""
     before, after = stages["mix"]
     times = Counter(r.doc_id for r in after)
-    df = spark.createDataFrame([(r.doc_id, r.text, r.source) for r in before], "doc_id long, text string, source string")
-    want = {r.doc_id: r.copies for r in mixing.mix_sources(df, ["doc_id"]).collect()}
-    assert all(times[i] == n for i, n in want.items()) and set(times) <= set(want)
-    assert set(want.values()) >= {1, 2}
+    want = sql_rows(queries.OP5_SQL, before)
+    assert all(times[r["doc_id"]] * r["size"] == r["taken"] for r in want) and set(times) <= {r["doc_id"] for r in want}
+    assert set(times.values()) == {1, 2}
 
 
 def test_shard(stages):
@@ -87,6 +98,36 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
             assert n <= docs.count() * (2 if name == "mix" else 1)
             if name != "shard":
                 assert out.columns == docs.columns
-    kept = p.near_dedup(spark, odd_docs, sf).collect()
+    kept = stage_named("near_dedup")(spark, odd_docs, sf).collect()
     assert Counter(r.doc_id for r in kept)[3] == 1 and not any(r.doc_id == 4 for r in kept)
-    assert sum(r.doc_id is None for r in kept) == 2
+    assert [r.text for r in kept if r.doc_id is None] == ["no id\nhere"] and sum(not (r.text or "").strip() for r in kept) == 1
+
+
+def stage_named(name):
+    return dict(p.STAGES)[name]
+
+
+#: Names that stages and operators use, or once used, inside.
+INNER = ["copy", "__copy", "__text", "__more", "__score", "__found", "copies", "score", "found", "node", "id", "in_0", "n", "kept_id", "mix_id", "taken", "key", "of_source", "at", "piece", "_score"]
+
+
+def test_columns_of_any_name_come_through(spark, sf_dir, odd_docs):
+    """All five stages: the values of every column, not just their names."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(odd_docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in INNER})
+    for name, stage in p.STAGES:
+        out = p.written(stage(spark, docs, sf_dir), f"test-{name}")
+        assert out.columns[: len(docs.columns)] == docs.columns
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            for c in INNER:
+                assert r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}", (name, c)
+        docs = out
+
+
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "shared_dir", lambda spark: str(tmp_path))
+    rows = p.run(spark, SF).collect()
+    left = [x.name for x in tmp_path.iterdir()]
+    assert rows and len(left) == 1 and left[0].startswith("stage-shard")

@@ -50,8 +50,50 @@ def test_recall_of_the_query(spark):
     assert all(abs(s - scores[q, j]) < 1e-12 for q, x in got.items() for j, s in x)
 
 
+def share_and_recall(x, asked, **how):
+    """Of all vectors those in the buckets that a query probes, and of its five nearest those among them, by brute force."""
+    how = {"tables": a.TABLES, "rotations": a.ROTATIONS, "probes": a.PROBES} | how
+    nearness = x[asked] @ x.T
+    nearness[np.arange(len(asked)), asked] = -2
+    nearest = np.argsort(-nearness, axis=1)[:, :5]
+    seen = np.zeros(nearness.shape, dtype=bool)
+    for t in range(how["tables"]):
+        own = np.concatenate([a.buckets(x[i : i + 1000], t, how["rotations"], 1)[:, 0] for i in range(0, len(x), 1000)])
+        for n, i in enumerate(asked):
+            seen[n] |= np.isin(own, a.buckets(x[i : i + 1], t, how["rotations"], how["probes"])[0])
+    return seen.mean(), np.take_along_axis(seen, nearest, 1).mean()
+
+
+def test_share_and_recall_of_the_defaults(spark):
+    """2,000 near-random vectors, the worst case."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()
+    x = a._unit(np.array([r.embedding for r in rows], dtype=float))
+    share, recall = share_and_recall(x, np.arange(0, len(x), 10))
+    assert share < 0.3 and recall >= 0.95
+
+
+def test_share_and_recall_where_neighbours_are_near():
+    rng = np.random.default_rng(0)
+    x = a._unit(np.repeat(rng.normal(size=(500, 64)), 40, axis=0) + 0.35 * rng.normal(size=(20_000, 64)))
+    share, recall = share_and_recall(x, np.arange(0, len(x), 200), tables=8, probes=16)
+    assert share < 0.1 and recall >= 0.98
+
+
+def test_recall_on_many_rows(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()], dtype=float)
+    got = answers(queries.op7_nearest_neighbours(spark, sf_dir))
+    unit = a._unit(x)
+    near = unit @ unit.T
+    np.fill_diagonal(near, -2)
+    assert set(got) == set(range(0, len(x), 50)) and all(len(v) == 5 for v in got.values())
+    hits = sum(len({j for j, _ in got[q]} & set(np.argsort(-near[q])[:5].tolist())) for q in got)
+    assert hits / (5 * len(got)) >= 0.95
+    assert all(abs(s - near[q, j]) < 1e-12 for q, v in got.items() for j, s in v)
+
+
 def test_copies_ties_and_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr(a, "PIECE", 7)
+    monkeypatch.setattr(a, "PIECE_BYTES", 100)
     rng = np.random.default_rng(2)
     rows = [(i, [1.0, 2.0, 0.5]) for i in range(0, 40)] + [(i, rng.normal(size=3).tolist()) for i in range(40, 60)]
     rows += [(60, [2.0, 4.0, 1.0]), (61, None), (62, []), (63, [0.0, -0.0, 0.0]), (64, [1.0, None, 1.0]), (65, [float("nan")] * 3), (66, [float("inf"), 1.0, 1.0])]
@@ -59,7 +101,7 @@ def test_copies_ties_and_odd_vectors(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     want = {q: x for q, x in brute(rows, lambda i: i % 5 == 0).items() if x}
     # Every axis is probed: exact.
-    got = answers(a.nearest(df, a.F.col("id") % 5 == 0, probes=64, tables=2))
+    got = answers(a.nearest(df, a.F.col("id") % 5 == 0, probes=256, tables=2))
     assert set(got) == set(want)
     for q in want:
         assert [j for j, _ in got[q]] == [j for j, _ in want[q]], q

@@ -1,15 +1,14 @@
 """Lines that many documents share, dropped by way of a sharded minimal perfect hash.
 
-One pass counts, for each distinct line hash (128 bits), the documents that have it. The hashes of lines that
-are common enough to be dropped are dealt into shards by their top bits, and each shard becomes a
-minimal perfect hash over them with an array of 64-bit fingerprints and one of counts. A second pass takes
-each document's lines and probes the arrays; a hash that isn't in the index lands on some slot, and its
-fingerprint tells it apart. Rarer lines are left out of the index as they never drop: no
-answer changes, and the index stays small beside the text.
-
-If the arrays' size, which is measured, is within ``broadcast_bytes``, they are broadcast. Otherwise the
-documents' line hashes are sent to the shards, and what drops comes back to the documents; lines themselves
-never travel.
+One pass counts, for each distinct line hash (128 bits), the documents that have it. All distinct hashes are dealt into
+shards by their top bits, and each shard becomes a minimal perfect hash over them with an array of 64-bit fingerprints and
+one of 32-bit counts. A second pass takes each document's lines and probes the arrays; whether a line drops is decided by the count that it reads there. A hash that isn't
+in the index lands on some slot, and its fingerprint tells it apart.
+
+If the arrays' size, which is measured, is within ``broadcast_bytes``, they are broadcast. Otherwise the documents' line hashes are
+sent to the shards, each text named by a hash, and those that drop come back: as a small index of their own that is
+broadcast if it is within the same bound, else by the texts' names. The hashes that hold more than a 100,000th of all lines, at most so many, are answered
+before anything is sent, so no shard is asked for one line without end.
 """
 
 from __future__ import annotations
@@ -28,8 +27,8 @@ from sievework.llm.common import ship_package, text_of, written
 
 #: Documents with a line from which it is dropped, and the least code points of its key.
 MIN_DOCS, MIN_CHARS = 10, 1
-#: Keys of one shard; most bytes of arrays to broadcast; copies of a shard that share its probes beyond that.
-SHARD_KEYS, BROADCAST_BYTES, SALTS = 1 << 18, 32 << 20, 16
+#: Keys of one shard; most bytes of arrays to broadcast; the share of all lines, as one in so many, from which a hash is hot.
+SHARD_KEYS, BROADCAST_BYTES, HOT = 1 << 18, 4 << 20, 100_000
 BLANKS = b" \t\n\x0b\x0c\r"
 INDEX = "shard int, n long, sizes array<long>, bits binary, fingerprints binary, counts binary"
 
@@ -93,14 +92,19 @@ class Shards:
         return found
 
 
-def common_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """The sharded index of the lines found in ``min_docs`` documents or more, and the bits of a hash that name its shard."""
+def line_counts(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h1, h2, n): the distinct hashes of line keys of ``min_chars`` code points or more, and the documents that have them."""
     ship_package(docs.sparkSession)
     counted = docs.select(text_of(text_col).alias("text")).mapInPandas(_counter(min_chars), "h1 long, h2 long, n long")
-    common = written(counted.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs), "common-lines")
-    bits = max(3, (common.count() // shard_keys).bit_length())
-    sharded = common.withColumn("shard", F.shiftrightunsigned("h1", 64 - bits).cast("int"))
-    return written(sharded.groupBy("shard").applyInPandas(_build_shard, INDEX), "line-index"), bits
+    return written(counted.groupBy("h1", "h2").agg(F.sum("n").alias("n")), "line-counts")
+
+
+def line_index(counts: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int, int]:
+    """The sharded index of all hashes (h1, h2, n), the bits of a hash that name its shard, and the bytes of its arrays."""
+    bits = max(3, (counts.count() // shard_keys).bit_length())
+    sharded = counts.withColumn("shard", F.shiftrightunsigned("h1", 64 - bits).cast("int"))
+    index = written(sharded.groupBy("shard").applyInPandas(_build_shard, INDEX), "line-index")
+    return index, bits, index.agg(F.sum(F.length("bits") + F.length("fingerprints") + F.length("counts"))).first()[0] or 0
 
 
 def _kept(texts, dropped_of) -> pd.DataFrame:
@@ -116,6 +120,7 @@ def _kept(texts, dropped_of) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept"])
 
 
+#: The columns that drop_common_lines() makes.
 KEPT = "n_lines long, n_dropped long, kept string"
 
 
@@ -128,68 +133,95 @@ def _probe(shared, min_docs: int):
     return probe
 
 
-def _hash_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        of_doc = [list({line_key(x) for x in text.encode().split(b"\n")}) for text in batch["text"]]
-        found = digests([k for keys in of_doc for k in keys]).astype(np.uint64)
-        yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), [len(keys) for keys in of_doc]), "h1": found[:, 0].view(np.int64), "h2": found[:, 1].view(np.int64)})
+def _hash_lines(hot):
+    """The hashes of each text's lines that aren't hot; of equal texts of a batch once."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.drop_duplicates("name")
+            of_text = [list({line_key(x) for x in text.encode().split(b"\n")}) for text in batch["text"]]
+            found = digests([k for keys in of_text for k in keys]).astype(np.uint64)
+            names = np.repeat(batch["name"].to_numpy(), [len(keys) for keys in of_text])
+            cold = hot.value.lookup(found) == 0
+            yield pd.DataFrame({"name": names[cold], "h1": found[cold, 0].view(np.int64), "h2": found[cold, 1].view(np.int64)})
+
+    return ask
 
 
 def _probe_routed(min_docs: int):
+    """Of a shard the arrays come first, then what is asked of them; a task holds one shard's arrays at a time."""
+
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, shard = None, None
         for batch in batches:
             for own, rows in batch.groupby("shard", sort=False):
-                built = rows[rows["id"].isna() & rows["bits"].notna()]
+                built = rows[rows["bits"].notna()]
                 if own != shard or len(built):
                     index, shard = (mph.Index(*built.iloc[0][["sizes", "bits", "fingerprints", "counts"]]) if len(built) else None), own
                 asked = rows[rows["bits"].isna()]
                 if index is not None and len(asked):
-                    yield asked.loc[index.lookup(_unsigned(asked["h1"]), _unsigned(asked["h2"])) >= min_docs, ["id", "h1", "h2"]]
+                    n = index.lookup(_unsigned(asked["h1"]), _unsigned(asked["h2"]))
+                    yield asked.assign(n=n).loc[n >= min_docs, ["name", "h1", "h2", "n"]]
 
     return probe
 
 
-def _drop_given():
+def _drop_given(hot, min_docs: int):
     @F.pandas_udf(KEPT)
     def drop(texts: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.DataFrame:
         out = []
         for t, a, b in zip(texts, h1, h2):
             gone = set() if a is None else set(zip(a.tolist(), b.tolist()))
-            out.append(_kept([t], lambda keys, gone=gone: np.array([tuple(k) in gone for k in digests(keys).astype(np.uint64).view(np.int64).tolist()])))
-        return pd.concat(out, ignore_index=True)
+
+            def dropped(keys: list, gone=gone) -> np.ndarray:
+                found = digests(keys).astype(np.uint64)
+                return np.array([tuple(k) in gone for k in found.view(np.int64).tolist()], dtype=bool) | (hot.value.lookup(found) >= min_docs)
+
+            out.append(_kept([t], dropped))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c.split()[0]: [] for c in KEPT.split(", ")})
 
     return drop
 
 
-def drop_common_lines(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def drop_common_lines(docs: DataFrame, keep: list[str], text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """The columns ``keep`` of ``docs`` with n_lines (before), n_dropped and kept (the text that is left).
 
     Lines are split at \\n only; a null or empty text is one empty line. A line's key is the line without ASCII blanks at
     its ends, A-Z in lower case; keys of ``min_chars`` code points or more that ``min_docs`` rows or more have lose all
-    their lines. Rows are documents, repeated ones too. Answers are brought back in the routed
-    form by a hash of id and text. Other columns are not read.
+    their lines. Rows are documents, repeated ones too, so there are no ties. Ids aren't looked at: answers come back to a text by
+    its hash, and equal texts have equal answers. Columns in ``keep`` named like one that is made are replaced; others are not
+    read. An empty table gives an empty result.
     """
-    index, shard_bits = common_lines(docs, text_col, min_docs, min_chars, shard_keys)
-    text = text_of(text_col)
-    kept = [F.col(f"`{c}`") for c in keep]
-    size = index.agg(F.sum(F.length("bits") + F.length("fingerprints") + F.length("counts"))).first()[0] or 0
+    made = [c.split()[0] for c in KEPT.split(", ")]
+    keep = [c for c in keep if c.lower() not in made]
+    spark, text = docs.sparkSession, text_of(text_col)
+    counts = line_counts(docs, text_col, min_chars)
+    index, bits, size = line_index(counts, shard_keys)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(keep)), text.alias("text"))
+    out = [*(F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)), "lines.*"]
+
+    def broadcast(index: DataFrame, bits: int):
+        return spark.sparkContext.broadcast(Shards(bits, index.collect()))
+
     if size <= broadcast_bytes:
-        shared = docs.sparkSession.sparkContext.broadcast(Shards(shard_bits, index.collect()))
-        return docs.select(*kept, _probe(shared, min_docs)(text).alias("__lines")).select(*kept, "__lines.*")
-
-    n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    # Of the id and the text, so that an answer never exceeds one document's lines.
-    own = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("\n"), text).cast("binary")).alias("id")
-    asked = docs.select(own, text.alias("text"))
-    asked = asked.mapInPandas(_hash_lines, "id string, h1 long, h2 long")
-    asked = asked.select(F.shiftrightunsigned("h1", 64 - shard_bits).cast("int").alias("shard"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), "id", "h1", "h2")
+        return rows.withColumn("lines", _probe(broadcast(index, bits), min_docs)("text")).select(out)
+
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    few = counts.where((F.col("n") * HOT > total) & (F.col("n") >= min_docs))  # fewer than HOT of them can be
+    hot = broadcast(*line_index(few, shard_keys)[:2])
+    name = F.unhex(F.md5(text.cast("binary"))).alias("name")
+    asked = docs.select(name, text.alias("text")).mapInPandas(_hash_lines(hot), "name binary, h1 long, h2 long").withColumn("shard", F.shiftrightunsigned("h1", 64 - bits).cast("int"))
     # No nulls among the hashes: pandas would turn the column into floats.
-    arrays = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "sizes", "bits", "fingerprints", "counts")
-    # Of a shard the arrays come first, then what is asked of them; a task holds one shard's arrays at a time.
-    both = arrays.unionByName(asked, allowMissingColumns=True).repartition(int(n), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("id").asc_nulls_first())
-    hits = both.mapInPandas(_probe_routed(min_docs), "id string, h1 long, h2 long").distinct()
-    hits = hits.groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(keep)), text.alias("text"), own)
-    rows = rows.join(hits, "id", "left").withColumn("lines", _drop_given()("text", "gone.h1", "gone.h2"))
-    return rows.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)), "lines.*")
+    zero = F.lit(0).cast("long")
+    arrays = index.select("shard", zero.alias("h1"), zero.alias("h2"), "sizes", "bits", "fingerprints", "counts")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = arrays.unionByName(asked, allowMissingColumns=True).repartition(n, "shard").sortWithinPartitions("shard", F.col("bits").isNull())
+    hits = written(both.mapInPandas(_probe_routed(min_docs), "name binary, h1 long, h2 long, n long"), "line-hits")
+
+    gone = hits.groupBy("h1", "h2").agg(F.max("n").alias("n")).unionByName(few)
+    dropping, gone_bits, gone_size = line_index(written(gone, "line-gone"), shard_keys)
+    if gone_size <= broadcast_bytes:
+        return rows.withColumn("lines", _probe(broadcast(dropping, gone_bits), min_docs)("text")).select(out)
+    answers = written(hits.groupBy("name").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")), "line-answers")
+    named = rows.withColumn("name", F.unhex(F.md5(F.col("text").cast("binary"))))
+    return named.join(answers, "name", "left").withColumn("lines", _drop_given(hot, min_docs)("text", "gone.h1", "gone.h2")).select(out)

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bits of a level for each key that reaches it.
-GAMMA = 2.0
+#: Bits of a level for each key that reaches it; the largest count that an index tells apart.
+GAMMA, MOST = 2.0, (1 << 32) - 1
 #: The constants of the SplitMix64 finaliser.
 STEP, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -40,8 +40,8 @@ def build(h1: np.ndarray, h2: np.ndarray, counts: np.ndarray) -> dict:
         sizes.append(size)
         levels.append(np.packbits(alone, bitorder="little"))
         left = left[~stays]
-    fingerprints, by_slot = np.empty(len(h1), dtype="<u8"), np.empty(len(h1), dtype="<i8")
-    fingerprints[slot], by_slot[slot] = h2, counts
+    fingerprints, by_slot = np.empty(len(h1), dtype="<u8"), np.empty(len(h1), dtype="<u4")
+    fingerprints[slot], by_slot[slot] = h2, np.minimum(counts, MOST)
     bits = np.concatenate(levels) if levels else np.empty(0, dtype=np.uint8)
     return {"sizes": sizes, "bits": bits.tobytes(), "fingerprints": fingerprints.tobytes(), "counts": by_slot.tobytes()}
 
@@ -53,7 +53,7 @@ class Index:
         self.sizes = [int(s) for s in sizes]
         self.words = np.frombuffer(bits, dtype="<u8")
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).astype(np.int64))])
-        self.fingerprints, self.counts = np.frombuffer(fingerprints, dtype="<u8"), np.frombuffer(counts, dtype="<i8")
+        self.fingerprints, self.counts = np.frombuffer(fingerprints, dtype="<u8"), np.frombuffer(counts, dtype="<u4")
 
     def lookup(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The counts of the keys; 0 for one that isn't in the index."""

@@ -3,7 +3,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from sievework.llm import line_dedup as d
@@ -17,7 +16,7 @@ def test_minimal_perfect_hash():
         h[: n // 4, 0] = h[:1, 0] if n else 0  # equal first halves must still come apart
         counts = np.arange(1, n + 1)
         built = mph.build(h[:, 0], h[:, 1], counts)
-        assert len(built["counts"]) == 8 * n
+        assert len(built["counts"]) == 4 * n
         index = mph.Index(**built)
         assert (index.lookup(h[:, 0], h[:, 1]) == counts).all()
         other = rng.integers(0, 2**64, (5000, 2), dtype=np.uint64)
@@ -35,7 +34,7 @@ def brute(rows, min_docs, min_chars):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("broadcast_bytes", [1 << 25, -1])
+@pytest.mark.parametrize("broadcast_bytes", [1 << 25, 300, -1])
 @pytest.mark.parametrize("min_chars", [1, 3])
 def test_equals_brute_force(spark, broadcast_bytes, min_chars):
     rng = random.Random(8)
@@ -47,6 +46,18 @@ def test_equals_brute_force(spark, broadcast_bytes, min_chars):
         assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, min_docs, min_chars)
 
 
+def test_the_index_holds_every_line_with_its_count(spark, sf_dir):
+    """Counts below the threshold are read back too."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    index, bits, size = d.line_index(d.line_counts(docs), shard_keys=100)
+    shards = d.Shards(bits, index.collect())
+    want = Counter(k for r in docs.select("text").collect() for k in {d.line_key(x) for x in r.text.encode().split(b"\n")} if k)
+    keys = list(want)
+    assert shards.lookup(d.digests(keys)).tolist() == [want[k] for k in keys] and 1 in want.values()
+    assert not shards.lookup(d.digests([k + b"?" for k in keys])).any()
+    assert size < 14 * len(keys) + 64 * len(shards.rows) * 4
+
+
 def test_query_equals_sql(same_as_sql):
     assert any(r[3] for r in same_as_sql("op3_line_dedup"))
 
@@ -59,21 +70,13 @@ def test_odd_rows(odd_docs, no_docs, broadcast_bytes):
     assert d.drop_common_lines(no_docs, ["doc_id", "key"], broadcast_bytes=broadcast_bytes).count() == 0
 
 
-def test_routed_answers_hold_one_documents_lines(spark, monkeypatch):
-    """Rows without id or with equal ids: none is sent the lines of another."""
-    from pyspark.sql import functions as F
-
-    def sizes():
-        @F.pandas_udf(d.KEPT)
-        def size(texts: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame({"n_lines": [t.count("\n") + 1 for t in texts], "n_dropped": [0 if a is None else len(a) for a in h1], "kept": list(texts)})
-
-        return size
-
+@pytest.mark.parametrize("hot", [2, 100_000])
+def test_routed_answers_go_by_text(spark, monkeypatch, hot):
+    """Rows without id or with equal ids: each text gets what it asked for; a hot line is answered before anything is sent."""
+    monkeypatch.setattr(d, "HOT", hot)
     lines = [f"a line that is long enough to be dropped, number {i}" for i in range(12)]
-    rows = [(i, "\n".join(lines[k : k + 2])) for i in (None, 4) for k in range(0, 12, 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    real = d.drop_common_lines(docs, ["doc_id"], min_docs=2, broadcast_bytes=0).collect()
-    assert len(real) == 12 and all((r.n_lines, r.n_dropped) == (2, 2) for r in real)
-    monkeypatch.setattr(d, "_drop_given", sizes)
-    assert [r.n_dropped for r in d.drop_common_lines(docs, ["doc_id"], min_docs=2, broadcast_bytes=0).collect()] == [2] * 12
+    rows = [(i, "\n".join([*lines[k : k + 2], "everywhere", f"own {i} {k}"])) for i in (None, 4) for k in range(0, 12, 2)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = d.drop_common_lines(docs, ["doc_id", "kept"], min_docs=3, broadcast_bytes=-1)
+    assert got.columns == ["doc_id", "n_lines", "n_dropped", "kept"]
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 3, 1)

@@ -92,7 +92,7 @@ def test_every_linked_pair_meets_under_a_key():
         two = one ^ np.uint64(sum(1 << int(b) for b in bits))
         (key, free), (other, more) = (keys_and_free(np.array([x]), 2) for x in (one, two))
         same = np.flatnonzero(key == other)
-        found = [len(n.pairs(np.concatenate([unpacked(int(key[k, 0]), free[k]), unpacked(int(key[k, 0]), more[k])]))) for k in same]
+        found = [len(n.pairs(np.concatenate([unpacked(int(key[k, 0]), free[k]), unpacked(int(key[k, 0]), more[k])]), np.array([[one], [two]]))) for k in same]
         assert any(found)
 
 
@@ -110,7 +110,7 @@ def test_pairs_hold_every_class_together(monkeypatch):
     base = rng.integers(0, 1 << 64, dtype=np.uint64)
     # Two tight groups, near enough to be one, and rows of no group; the chain's first segments stay equal.
     rows = [base ^ np.uint64(shift) ^ np.uint64(1 << k) for shift in (0, 3) for k in range(4, 16)] + list(base ^ (rng.integers(0, 1 << 64, 3, dtype=np.uint64) | np.uint64(0xFF << 56)))
-    met = n.pairs(np.array(rows))
+    met = n.pairs(np.array(rows), np.array(rows)[:, None])
     least = list(range(len(rows)))
     for i, j in met.tolist():
         low, high = sorted((least[i], least[j]))

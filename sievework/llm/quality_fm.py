@@ -2,7 +2,7 @@
 
 The score of features x is w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j, through a sigmoid. The pair
 sum is taken in linear time as half of sum_f ((sum_i v_if x_i)^2 - sum_i (v_if x_i)^2). The model has a fixed
-size. It is fitted on about MAX_ROWS labelled rows at most, drawn by a hash of the id; everything else runs over
+size. It is fitted on about MAX_ROWS labelled texts and MAX_BYTES of features at most, drawn by a hash of id and text; everything else runs over
 every whole text where it lies.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import ship_package, text_of, written
 
-#: Labelled rows that the model is fitted on, at most (in expectation).
-MAX_ROWS = 20_000
+#: Labelled texts that the model is fitted on, and bytes of their features, at most (in expectation).
+MAX_ROWS, MAX_BYTES = 20_000, 200_000_000
 #: Buckets of hashed words, buckets of hashed metadata, length of a factor, passes, rows of a step, step size, shrinkage.
 WORD_BUCKETS, META_BUCKETS, RANK, EPOCHS, BATCH, RATE, SHRINK = 1 << 15, 256, 8, 6, 128, 0.05, 1e-4
 #: Classes of ASCII marks whose share of a text's bytes is a statistic.
@@ -50,7 +50,7 @@ INDEX, VALUE = np.dtype("<u2"), np.dtype("<f4")
 
 
 def features(texts, metas) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index, value, start of each row) of the sparse rows. A row: its statistics, metadata, then words with unit length."""
+    """(index, value, start of each row) of the sparse rows. A row: its statistics, metadata, then words with unit length, those of one bucket added up."""
     index, value, starts, at = [], [], [], 0
     for text, meta in zip(texts, metas):
         data = text.encode()
@@ -61,12 +61,13 @@ def features(texts, metas) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         share = np.bincount(CLASSES[np.frombuffer(data, dtype=np.uint8)], minlength=SHARES) / max(1, len(data))
         more = (np.log1p(len(words)), np.log1p(len(data)), sum(map(len, words)) / n / 10, distinct / n, max(counts.values(), default=0) / n, len(set(lines)) / max(1, len(lines)), len(lines) / n, sum(map(eq, words, words[1:])) / n)
         tags = [WORD_BUCKETS + crc32(m.encode()) % META_BUCKETS for m in meta.split("\x1f") if m]
-        hashed = np.fromiter(map(crc32, counts), dtype=np.int64, count=distinct) % WORD_BUCKETS
-        tf = 1 + np.log(np.fromiter(counts.values(), dtype=np.float32, count=distinct))
-        index += [np.arange(WIDTH - STATS, WIDTH), np.array(tags, dtype=np.int64), hashed]
-        value += [share, more, np.ones(len(tags)), tf / (np.sqrt((tf * tf).sum()) or 1)]
+        hashed, of = np.unique(np.fromiter(map(crc32, counts), dtype=np.int64, count=distinct) % WORD_BUCKETS, return_inverse=True)
+        tf = 1 + np.log(np.bincount(of, weights=np.fromiter(counts.values(), dtype=np.float64, count=distinct), minlength=len(hashed)))
+        tags, times = np.unique(np.array(tags, dtype=np.int64), return_counts=True)
+        index += [np.arange(WIDTH - STATS, WIDTH), tags, hashed]
+        value += [share, more, times, tf / (np.sqrt((tf * tf).sum()) or 1)]
         starts.append(at)
-        at += STATS + len(tags) + distinct
+        at += STATS + len(tags) + len(hashed)
     if not starts:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float32), np.empty(0, dtype=np.int64)
     return np.concatenate(index), np.concatenate(value).astype(np.float32), np.array(starts)
@@ -170,20 +171,22 @@ def length_class(n: str) -> Column:
     return F.when(F.col(f"`{n}`") >= 0, F.floor(F.log2(F.col(f"`{n}`") + 1)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", meta: list[Column] = (), max_rows: int = MAX_ROWS) -> Model:
-    """A model from the labels (0 or 1) of rows that aren't held out.
-
-    An id with different labels, a null one, or other values teach nothing. Beyond ``max_rows`` usable labels a
-    share of them is drawn by the ids' hash. Only those rows' features come to the driver.
-    """
+def training_features(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", meta: list[Column] = (), max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(id, text_hash, y, index, value): the packed features of the texts to fit on, each once; see train()."""
     ship_package(docs.sparkSession)
     usable = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
     usable = usable.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("id", "y")
+    lot, of_all = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 30)), 1 << 30
     n = usable.count()
     if n > max_rows:
-        usable = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+        usable = usable.where(lot("id") < int(of_all * max_rows / n))
     drawn = written(usable, "training-labels")  # its size is bounded by max_rows
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"), metadata(list(meta)).alias("meta")).join(F.broadcast(drawn), "id")
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), metadata(list(meta)).alias("meta"), text_of(text_col).alias("text"))
+    rows = named.join(F.broadcast(drawn), "id")
+    # An id may have any number of rows: the texts are drawn too, each (id, text, metadata) once.
+    found = written(rows.groupBy("id", "text_hash", "meta").agg(F.count("*").alias("n")), "training-rows")
+    n = found.count()
+    share = min(1.0, max_rows / n) if n else 1.0
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -191,10 +194,27 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             for a, b in blocks_of(texts):
                 index, value, starts = features(texts[a:b], metas[a:b])
                 packed = [[x.tobytes() for x in np.split(y, starts[1:])] for y in (index.astype(INDEX), value.astype(VALUE))]
-                yield pd.DataFrame({"id": batch["id"].iloc[a:b].astype(str), "y": batch["y"].iloc[a:b], "index": packed[0], "value": packed[1]})
+                yield batch.iloc[a:b][["id", "text_hash", "meta", "y"]].assign(id=batch["id"].iloc[a:b].astype(str), index=packed[0], value=packed[1])
+
+    chosen = rows.where(lot("id", "text_hash", "meta", F.lit(1)) < int(of_all * share))
+    packed = chosen.mapInPandas(extract, "id string, text_hash long, meta string, y int, index binary, value binary")
+    packed = written(packed.dropDuplicates(["id", "text_hash", "meta"]), "training-features")
+    size = packed.agg(F.sum(F.length("index") + F.length("value"))).first()[0] or 0
+    if size > max_bytes:
+        packed = packed.where(lot("id", "text_hash", "meta", F.lit(2)) < int(of_all * max_bytes / size))
+    return packed
 
-    # Packed: six bytes for each feature, in a few buffers, is all that the driver holds.
-    got = rows.mapInPandas(extract, "id string, y int, index binary, value binary").toArrow().sort_by("id")
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", meta: list[Column] = (), max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """A model from the labels (0 or 1) of rows that aren't held out.
+
+    An id with different labels, a null one, or other values teach nothing. Rows that agree in id, text and metadata teach once. Beyond ``max_rows`` usable labels, or
+    texts that have one, a share of them is drawn by a hash, and again beyond ``max_bytes`` of features (six bytes for each bucket of a text, so a text of any length has 200 kB at most). Only
+    those texts' features come to the driver.
+    """
+    packed = training_features(docs, labels, label_col, id_col, text_col, meta, max_rows, max_bytes)
+    # Packed, in a few buffers, is all that the driver holds.
+    got = packed.toArrow().sort_by([(c, "ascending") for c in ("id", "text_hash", "meta")])
     index, value = (np.frombuffer(b"".join(x.as_py() for x in got[c]), dtype=kind) for c, kind in (("index", INDEX), ("value", VALUE)))
     sizes = np.fromiter((len(x.as_py()) // INDEX.itemsize for x in got["index"]), dtype=np.int64, count=got.num_rows)
     return fit(index, value, np.cumsum(sizes) - sizes, got["y"].to_numpy())

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -70,6 +72,64 @@ def test_held_out_labels_teach_nothing(spark):
     assert (q.train(docs, true.union(true.selectExpr("doc_id", "1 - quality"))).scores(["x"], [""]) == 0.5).all()
 
 
+def plain_features(text, meta):
+    """The features of one text as a dict, written out without arrays."""
+    data = text.encode()
+    words, lines = data.lower().split(), [x for x in data.split(b"\n") if x]
+    x = {}
+    kinds = [0] * q.SHARES
+    for byte in data:
+        c = chr(byte)
+        marks = [i for i, m in enumerate(q.MARKS) if c in m]
+        kind = 6 if byte > 127 else 1 if "A" <= c <= "Z" else 2 if "a" <= c <= "z" else 3 if "0" <= c <= "9" else 4 if c in "\t\x0b\x0c\r " else 5 if c == "\n" else 7 + marks[0] if marks else 0
+        kinds[kind] += 1
+    n, counts = max(1, len(words)), Counter(words)
+    more = [math.log1p(len(words)), math.log1p(len(data)), sum(len(w) for w in words) / n / 10, len(counts) / n, max(counts.values(), default=0) / n, len(set(lines)) / max(1, len(lines)), len(lines) / n, sum(a == b for a, b in zip(words, words[1:])) / n]
+    for i, s in enumerate([k / max(1, len(data)) for k in kinds] + more):
+        x[q.WIDTH - q.STATS + i] = s
+    for m in meta.split("\x1f"):
+        if m:
+            x[q.WORD_BUCKETS + zlib.crc32(m.encode()) % q.META_BUCKETS] = 1
+    buckets = Counter()
+    for w, k in counts.items():
+        buckets[zlib.crc32(w) % q.WORD_BUCKETS] += k
+    norm = math.sqrt(sum((1 + math.log(k)) ** 2 for k in buckets.values())) or 1
+    return x | {b: (1 + math.log(k)) / norm for b, k in buckets.items()}
+
+
+def test_scored_equals_all_pairs_written_out(spark, odd_docs):
+    """The Spark path on odd documents, against features and pairs one by one."""
+    rng = np.random.default_rng(5)
+    model = q.Model(0.2, rng.normal(0, 0.3, q.WIDTH).astype(np.float32), rng.normal(0, 0.2, (q.WIDTH, q.RANK)).astype(np.float32), rng.normal(0, 0.1, q.STATS).astype(np.float32), np.full(q.STATS, 0.7, np.float32))
+    docs = odd_docs.select("doc_id", "text", "n_chars").union(spark.createDataFrame([(50, "A b a B! 12\n\nx|y <z> b", 22), (51, " ".join(f"w{i % 300}" for i in range(900)), 4000)], "doc_id long, text string, n_chars long"))
+    meta = [q.length_class("n_chars")]
+    rows = q.scored(docs, model, meta=meta).select("text", q.metadata(meta).alias("meta"), "score").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        x = plain_features(r.text or "", r.meta)
+        for i in range(q.STATS):
+            at = q.WIDTH - q.STATS + i
+            x[at] = min(4, max(-4, (x[at] - model.mean[i]) / model.scale[i]))
+        raw = model.w0 + sum(float(model.w[i]) * v for i, v in x.items())
+        raw += sum(float(model.v[i].astype(float) @ model.v[j].astype(float)) * a * b for (i, a), (j, b) in combinations(x.items(), 2))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, raw)))), abs=2e-4), (r.text or "")[:40]
+
+
+def test_bounds_hold_for_repeated_ids(spark):
+    """One labelled id on many rows, and texts whose features are more than the bound."""
+    a, b = [i for i in range(1, 50) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    labels = spark.createDataFrame([(a, 1), (b, 0)], "doc_id long, quality int")
+    docs = spark.range(3000).selectExpr(f"if(id % 2 = 0, {a}L, {b}L) as doc_id", "concat('text number ', id div 2) as text").union(spark.createDataFrame([(b, "the same")] * 500, "doc_id long, text string"))
+    assert q.training_features(docs, labels).count() == 3001
+    n = q.training_features(docs, labels, max_rows=300).count()
+    assert 200 < n < 400
+    rows = q.training_features(docs, labels, max_bytes=30_000).collect()
+    assert 15_000 < sum(len(r["index"]) + len(r["value"]) for r in rows) < 45_000
+    long = " ".join(f"w{i}" for i in range(300_000))
+    index, _, _ = q.features([long], [""])
+    assert len(index) <= q.WIDTH and len(set(index.tolist())) == len(index)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (5, None), (6, 7), (7, 1), (8, 0), (8, 0)], "doc_id long, quality int").selectExpr("*", "'x' as text", "0 as y")
     meta = [q.length_class("n_chars")]

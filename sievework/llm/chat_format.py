@@ -85,49 +85,83 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _turns(layout: Layout, field) -> Column:
-    """The turns of one record; field(name) is a text field's column, or the list itself."""
+def _turns(layout: Layout, field, member) -> Column:
+    """The turns of one record; field(name) is a text field's column, or the list itself, member(item, name) a text field of one of its items."""
     if layout.items:
-        return F.coalesce(F.transform(field(layout.items[0]), lambda m: _turn(_role(m[layout.items[1]].cast("string")), m[layout.items[2]].cast("string"))), F.array().cast(TURNS))
+        _, role, text = layout.items
+        return F.coalesce(F.transform(field(layout.items[0]), lambda m: _turn(_role(member(m, role)), member(m, text))), F.array().cast(TURNS))
     # A part's empty fields leave no blank line; a system part that is empty is no turn.
     parts = [_turn(F.lit(role), F.concat_ws("\n\n", *(F.nullif(field(f).cast("string"), F.lit("")) for f in fields))) for role, fields in layout.parts]
     return F.filter(F.array(*parts), lambda t: (t["role"] != "system") | (t["text"] != ""))
 
 
+#: What joins the texts of a content that is given in parts.
+BETWEEN_PARTS = "\n"
+
+
+def _id(c: Column, kind: T.DataType) -> Column:
+    """Whole numbers as long, anything else as text."""
+    return c.cast("long") if isinstance(kind, T.IntegralType) else c.cast("string")
+
+
+def _typed_text(c: Column, kind: T.DataType | None) -> Column:
+    """A typed content as text: of parts the texts, in order; parts without text are left out."""
+    if not isinstance(kind, T.ArrayType):
+        return c.cast("string")
+    if isinstance(kind.elementType, T.StructType):
+        if "text" not in kind.elementType.names:
+            return F.lit(None).cast("string")
+        return F.array_join(F.transform(c, lambda p: p["text"].cast("string")), BETWEEN_PARTS)
+    return F.array_join(c.cast("array<string>"), BETWEEN_PARTS)
+
+
 def turns_of_table(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, layout, turns) of a typed table, one row per conversation.
 
     Turn rows are put in order of their turn (null first; ties by role, then text; repeated rows stay turns of their own). The rows of one
     conversation are one output row: its size is that of the conversation. Null role and null text count as empty; a null
-    id is an id. A schema that no mapping fits is an error.
+    id is an id. conv_id is a long where the ids are whole numbers by type, else text as it stands. A content given as a list of parts is the parts' texts, joined by a newline; parts without text
+    are left out. An empty table gives an empty result; columns that no mapping knows are not read. A schema that no mapping fits is an error.
     """
     layout = layout_of(df.schema)
     if layout is None:
         raise ValueError(f"no mapping for the fields {schema_paths(df.schema)}")
     name = F.lit(layout.name).alias("layout")
     if not layout.rows:
-        return df.select(F.col(f"`{id_col}`").cast("long").alias("conv_id"), name, _turns(layout, lambda f: F.col(f"`{f}`")).alias("turns"))
+        item = df.schema[layout.items[0]].dataType.elementType if layout.items else None
+        turns = _turns(layout, lambda f: F.col(f"`{f}`"), lambda m, f: _typed_text(m[f], item[f].dataType))
+        return df.select(_id(F.col(f"`{id_col}`"), df.schema[id_col].dataType).alias("conv_id"), name, turns.alias("turns"))
     conv, turn, role, text = (F.col(f"`{c}`") for c in layout.rows)
-    rows = df.select(conv.cast("long").alias("conv_id"), F.struct(turn.alias("turn"), F.coalesce(role.cast("string"), F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text")).alias("t"))
+    rows = df.select(_id(conv, df.schema[layout.rows[0]].dataType).alias("conv_id"), F.struct(turn.alias("turn"), F.coalesce(role.cast("string"), F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     return grouped.select("conv_id", name, F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
+def _json_text(item: Column, field: str) -> Column:
+    """A field of a JSON object as text. A list counts as parts: of strings, and of objects the text."""
+    parts = F.from_json(item, f"struct<`{field}`:array<string>>")[field]
+    said = F.transform(parts, lambda p: F.when(F.json_object_keys(p).isNull(), p).otherwise(F.get_json_object(p, "$.text")))
+    return F.when(parts.isNotNull(), F.array_join(said, BETWEEN_PARTS)).otherwise(F.get_json_object(item, f"$.{field}"))
+
+
 def turns_of_json(df: DataFrame, record_col: str = "record", id_path: str = "$.id") -> DataFrame:
-    """(conv_id, layout, turns) of JSON records of mixed layouts, one row per record.
+    """(conv_id, layout, turns) of JSON records of mixed layouts, one row per record, repeated ones too.
 
-    A record that is null, no JSON object or of no known layout stays, with a null layout and no turns.
+    conv_id is the id as text, null where there is none. A record that is null, empty, no JSON object or of no known layout stays, with a null layout and no turns. Elements of a
+    list of turns that are no objects are left out, the others stay. A content given as a list of parts is the parts' texts, joined by a newline; parts
+    without text are left out. Other columns are not read. An empty table gives an empty result.
     """
     record = F.col(f"`{record_col}`").cast("string")
     lists = {x.items[0] for x in LAYOUTS if x.items}
-    as_list = lambda f: F.from_json(F.get_json_object(record, f"$.{f}"), "array<map<string,string>>")
+    # Elements as JSON text, those that are objects.
+    as_list = lambda f: F.filter(F.from_json(F.get_json_object(record, f"$.{f}"), "array<string>"), lambda m: F.json_object_keys(m).isNotNull())
 
     def nested(f: str) -> Column:
-        of_one = lambda m: F.transform(F.map_keys(m), lambda k: F.concat(F.lit(f"{f}[]."), k))
-        return F.coalesce(F.flatten(F.filter(F.transform(as_list(f), of_one), lambda keys: keys.isNotNull())), F.array().cast("array<string>"))
+        of_one = lambda m: F.transform(F.json_object_keys(m), lambda k: F.concat(F.lit(f"{f}[]."), k))
+        return F.coalesce(F.flatten(F.transform(as_list(f), of_one)), F.array().cast("array<string>"))
 
     paths = F.array_sort(F.array_intersect(F.concat(F.coalesce(F.json_object_keys(record), F.array().cast("array<string>")), *map(nested, sorted(lists))), F.array(*map(F.lit, KNOWN))))
-    df = df.select(F.get_json_object(record, id_path).cast("long").alias("conv_id"), record.alias("record"), paths.alias("paths"))
+    df = df.select(F.get_json_object(record, id_path).alias("conv_id"), record.alias("record"), paths.alias("paths"))
     record = F.col("record")
     df = df.withColumn("fingerprint", F.xxhash64(F.array_join("paths", ",")))
     exact = [F.when(F.col("fingerprint") == fingerprint(x.paths), x.name) for x in LAYOUTS if not x.rows]
@@ -136,7 +170,7 @@ def turns_of_json(df: DataFrame, record_col: str = "record", id_path: str = "$.i
     turns = F.when(F.lit(False), F.array().cast(TURNS))
     for x in LAYOUTS:
         if not x.rows:
-            turns = turns.when(F.col("layout") == x.name, _turns(x, lambda f, x=x: as_list(f) if x.items else F.get_json_object(record, f"$.{f}")))
+            turns = turns.when(F.col("layout") == x.name, _turns(x, lambda f, x=x: as_list(f) if x.items else _json_text(record, f), _json_text))
     return df.select("conv_id", "layout", turns.otherwise(F.array().cast(TURNS)).alias("turns"))
 
 

@@ -39,7 +39,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.turns_of_table(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     record = json.dumps({"id": -1, "messages": [{"role": r, "content": TRICKY} for r in ("user", "assistant")]})
     more = chat_format.turns_of_json(spark.range(1).select(F.lit(record).alias("record")))
-    chats = chat_format.format_chats(turns.unionByName(more))
+    chats = chat_format.format_chats(turns.unionByName(more.withColumn("conv_id", F.col("conv_id").cast("long"))))
     read, loss = chat_format.read_back(F.col("formatted")), chat_format.loss_text(F.col("segments"))
     out = chats.select("conv_id", "layout", "formatted", read.alias("read"), loss.alias("loss"))
     said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -233,8 +233,8 @@ asked as (
     bool_or(polarity = 'block') and not bool_or(polarity = 'allow') as blocked
   from last where on_ = 1 group by all
 )
-select distinct c.page_id, c.url, c.fetched, c.host, coalesce(n_matches, 0)::bigint as n_matches, coalesce(matches, '') as matches, coalesce(blocked, false) as blocked
-from c left join m on c.page_id = m.page_id and c.url = m.url and c.fetched = m.fetched
+select c.page_id, c.url, c.fetched, c.host, coalesce(n_matches, 0)::bigint as n_matches, coalesce(matches, '') as matches, coalesce(blocked, false) as blocked
+from c left join m on c.page_id is not distinct from m.page_id and c.url = m.url and c.fetched = m.fetched
 """
 
 

@@ -48,10 +48,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched") -> DataFrame:
-    """One row for each distinct capture (id, url, time): id, url, time, host, matches, blocked.
+    """One row for each row of ``captures``: id, url, time, host, matches, blocked.
 
     matches are the active entries as texts ``list polarity key``, sorted. A capture is blocked if it matches a block entry and no allow entry. A capture
-    without host or time matches nothing. Captures that agree in id, url and time are one.
+    without host or time matches nothing. Captures that agree in id, url and time are looked up once and all stay. Null ids and other columns matter to nothing. An empty list matches
+    nothing; an empty table gives an empty result.
     """
     # Written, so that the planner knows its size: a small list is broadcast and the captures stay where they are.
     valid = written(intervals(entries), "list-intervals")
@@ -61,7 +62,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     labels, segments = most[0] or 0, most[1] or 0
 
     rows = captures.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{at_col}`").alias("at"))
-    rows = rows.withColumn("host", host_of(F.col("url")))
+    rows = rows.groupBy("id", "url", "at").agg(F.count("*").alias("n")).withColumn("host", host_of(F.col("url")))
     names, path = F.split("host", r"\."), path_of(F.col("url"))
     none = F.array().cast("array<string>")
     below = F.transform(F.sequence(F.lit(1), F.least(F.size(names), F.lit(labels))), lambda n: F.concat(F.lit("d:"), F.array_join(F.slice(names, -n, n), "."))) if labels else none
@@ -69,6 +70,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     asked = rows.withColumn("key", F.explode_outer(F.when(F.col("host").isNotNull(), F.concat(below, above))))
     active = F.filter("valid", lambda v: (v["start"] <= F.col("at")) & (v["stop"].isNull() | (F.col("at") < v["stop"])))
     said = F.transform(active, lambda v: F.concat_ws(" ", v["list_name"], v["polarity"], F.col("key")))
-    found = asked.join(valid, "key", "left").groupBy("id", "url", "at", "host").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(said)))).alias("matches"))
+    found = asked.join(valid, "key", "left").groupBy("id", "url", "at", "host", "n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(said)))).alias("matches"))
     has = lambda p: F.exists("matches", lambda m: F.split(m, " ")[1] == p)
+    found = found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.col("at").alias(at_col), "host", "matches", (has("block") & ~has("allow")).alias("blocked"))

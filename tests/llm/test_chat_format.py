@@ -51,7 +51,7 @@ def test_json_layouts(spark):
     got = c.turns_of_json(spark.createDataFrame(rows, "record string").withColumn("paths", F.lit("clash"))).collect()
     assert len(got) == len(rows)
     by_id = {r.conv_id: (r.layout, [tuple(t) for t in r.turns]) for r in got if r.conv_id is not None}
-    assert by_id == {r["id"]: (layout, turns) for r, layout, turns in RECORDS}
+    assert by_id == {str(r["id"]): (layout, turns) for r, layout, turns in RECORDS}
     assert all(r.layout is None and r.turns == [] for r in got if r.conv_id is None)
 
 
@@ -64,6 +64,26 @@ def test_typed_layouts(spark):
         c.turns_of_table(spark.createDataFrame([(1,)], "other long"))
 
 
+def test_text_ids_odd_elements_and_parts(spark):
+    parts = [{"type": "text", "text": "see"}, {"type": "image_url", "image_url": {"url": "u"}}, "this", {"type": "text", "text": "[1, 2]"}]
+    records = [
+        ({"id": "identity_0", "messages": [{"role": "user", "content": "a"}]}, [("user", "a")]),
+        ({"id": "x", "messages": ["a", {"role": "user", "content": "b"}, 3, None, ["c"], {"role": "assistant", "content": "c"}]}, [("user", "b"), ("assistant", "c")]),
+        ({"id": "p", "messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": "[1, 2]"}]}, [("user", "see\nthis\n[1, 2]"), ("assistant", "[1, 2]")]),
+        ({"id": "7.5", "prompt": ["one", "two"], "completion": "c"}, [("user", "one\ntwo"), ("assistant", "c")]),
+        ({"messages": [{"role": "user", "content": []}]}, [("user", "")]),
+    ]
+    df = spark.createDataFrame([(json.dumps(r),) for r, _ in records] * 2, "record string")
+    made = c.turns_of_json(df)
+    assert sorted(((r.conv_id, [tuple(t) for t in r.turns]) for r in made.collect()), key=repr) == sorted([(r.get("id"), t) for r, t in records] * 2, key=repr)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    table = spark.createDataFrame([("identity_0", 0, "user", "q"), ("identity_1", 0, "user", "r")], "conv_id string, turn long, role string, text string")
+    assert {r.conv_id for r in c.turns_of_table(table).collect()} == {"identity_0", "identity_1"}
+    typed = spark.createDataFrame([("k", [("user", [("text", "see"), ("image", None), ("text", "this")])])], "conv_id string, messages array<struct<role:string,content:array<struct<type:string,text:string>>>>")
+    assert [(r.conv_id, [tuple(t) for t in r.turns]) for r in c.turns_of_table(typed).collect()] == [("k", [("user", "see\nthis")])]
+
+
 def test_fingerprint_is_sparks(spark):
     paths = ["messages", "messages[].role", "messages[].content", "unknown"]
     got = spark.range(1).select(F.xxhash64(F.lit(",".join(sorted(paths[:3]))))).first()[0]

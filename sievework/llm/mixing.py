@@ -21,7 +21,7 @@ from sievework.llm.common import text_of, written
 #: Weights of the sources by code point, repeating; share of all words to take; most epochs of a source.
 WEIGHTS, SHARE, MOST_EPOCHS = (5, 2, 1), 1.5, 2
 #: Ordered bins of the key in one round; rows of one source from which its last bin is dealt into bins again.
-BINS, MANY = 4096, 2_000
+BINS, MANY = 512, 2_000
 #: Tied rows that one task numbers.
 PIECE_ROWS = 1_000
 #: Characters that count against a text's quality weight.

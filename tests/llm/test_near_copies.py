@@ -96,6 +96,20 @@ def test_every_linked_pair_meets_under_a_key():
         assert any(found)
 
 
+def test_first_meeting_is_the_first_common_key():
+    rng = np.random.default_rng(8)
+    for _ in range(100):
+        one = rng.integers(0, 1 << 64, 2, dtype=np.uint64)
+        two = one ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(2)], dtype=np.uint64)
+        met = []
+        for ring in range(2):
+            (key, free), (other, more) = (keys_and_free(x[ring : ring + 1], ring) for x in (one, two))
+            for k in np.flatnonzero(key[:, 0] == other[:, 0]):
+                if len(n.pairs(np.concatenate([unpacked(int(key[k, 0]), free[k]), unpacked(int(key[k, 0]), more[k])]), np.array([one, two]))):
+                    met.append(int(key[k, 0]) >> 32)
+        assert n.first_meeting((one ^ two)[None])[0] == min(met, default=-1)
+
+
 def test_fingerprints_of_distinct_words():
     texts = ["", "a B b\tc", "c b a a", "x " * 70_000 + "y", " ".join(f"w{i}" for i in range(150_000))]
     got = fingerprints(texts, 3)

@@ -67,10 +67,10 @@ def targets_of(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     cap / weight, so the cap binds for a prefix of that order; the first prefix after which no further source is above its cap is the answer.
     """
     by_name = Window.orderBy(F.col("mix_source").asc_nulls_last())
-    n = F.row_number().over(by_name) - 1
-    by_cap = Window.orderBy(F.col("cap") / F.col("w"), "n")
+    nth = F.row_number().over(by_name) - 1
+    by_cap = Window.orderBy(F.col("cap") / F.col("w"), "nth")
     everything = Window.partitionBy()
-    s = sizes.withColumn("n", n).withColumn("w", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("n") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * most)
+    s = sizes.withColumn("nth", nth).withColumn("w", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("nth") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * most)
     s = s.withColumn("total", F.sum("source_size").over(everything) * share)
     s = s.withColumn("capped", F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     s = s.withColumn("open_w", F.sum("w").over(by_cap.rowsBetween(0, Window.unboundedFollowing)))

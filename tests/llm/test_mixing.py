@@ -108,3 +108,15 @@ def test_odd_rows(odd_docs, no_docs):
     assert mixing.mix_sources(no_docs, keep=["doc_id"]).count() == 0
     rows = mixing.mix_sources(odd_docs.where("text is null"), keep=["doc_id"]).collect()
     assert [(r.size, r.target, r.taken) for r in rows] == [(0, 0.0, 0)] * 2
+
+
+def test_rows_of_a_large_source_are_binned(spark, monkeypatch):
+    """The rounds of bins see the sources' row counts, and leave at most MANY rows of a source to sort."""
+    docs = spark.range(5_000).selectExpr("id doc_id", "concat('w', id) text", "if(id % 10 < 8, 'a', 'b') source")
+    seen, kept = [], mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, name, *a: [out := kept(df, name, *a), seen.append((name, out))][0])
+    mixing.cuts_of(kept(mixing.drawn(docs, []), "drawn"))
+    targets = next(df for name, df in seen if name == "mix-targets")
+    assert {r.mix_source: r.n for r in targets.collect()} == {"a": 4_000, "b": 1_000}
+    ends = [df for name, df in seen if name == "mix-ends"]
+    assert ends and max(r.n for r in ends[-1].collect()) <= mixing.MANY

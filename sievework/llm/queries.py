@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import ann_crosspolytope, chat_format, decontaminate, line_dedup, mixing, quality_fm, sharding, simhash_dedup, token_count, url_filter
-from sievework.llm.common import table
+from sievework.llm import ann_crosspolytope, chat_format, decontaminate, importance_resampling, line_dedup, mixing, prefix_trie, quality_fm, sharding, simhash_dedup, token_count, url_filter
+from sievework.llm.common import table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -238,6 +238,83 @@ from c left join m on c.page_id is not distinct from m.page_id and c.url = m.url
 """
 
 
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of a text's UTF-8 bytes; DuckDB has no function for it."""
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)"
+    of = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {of}), lambda c, b: {bits}), 4294967295)"
+
+
+#: Conversations that share a head, and what is left when its turns are counted.
+SHARING, HEADS = 100, 6
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Each conversation with its first turns replaced by those of the first conversation of its hundred; one without turns as a row without digest."""
+    head = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % HEADS
+    convs = turns.select("conv").distinct()
+    heads = turns.where(f"conv % {SHARING} = 0 and at < {HEADS}").withColumnRenamed("conv", "first")
+    asked = convs.withColumns({"first": F.col("conv") - F.col("conv") % SHARING, "head": head("conv")})
+    borrowed = asked.join(heads, "first").where("at <= head").select(*turns.columns)
+    named = convs.select("conv", *(F.lit(None).cast(t).alias(c) for c, t in turns.dtypes if c != "conv"))
+    return borrowed.unionByName(turns.where(F.col("at") > head("conv"))).unionByName(named)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(prefix_trie.turns_of(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.trie(rebuilt(turns)).drop("node", "parent")
+
+
+OP12_SQL = f"""
+with t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, digest) as pos, digest, length(coalesce(text, '')) as chars
+  from (select *, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as digest from conversations where conv_id is not null)
+), c as (select conv_id, ({crc32_sql("conv_id::varchar")}) % {HEADS} as head from (select distinct conv_id from t)),
+b as (
+  select c.conv_id, pos, digest, chars from c join t on t.conv_id = c.conv_id - c.conv_id % {SHARING} and pos <= head
+  union all select conv_id, pos, digest, chars from t join c using (conv_id) where pos > head
+), p as (
+  select conv_id, row_number() over w as depth, string_agg(digest, '/') over w as node, chars, count(*) over (partition by conv_id) as n_turns from b window w as (partition by conv_id order by pos)
+  union all select conv_id, 0, '', 0, (select count(*) from b where b.conv_id = c.conv_id) from c
+), n as (
+  select node, depth, regexp_replace(node, '/?[^/]*$', '') as parent, min(conv_id) as conv_id, count(*) as n_convs, any_value(chars) as chars,
+    coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (depth = n_turns), '') as ends
+  from p group by node, depth
+), f as (select parent, count(*) as n_children from n where depth > 0 group by parent),
+s as (
+  select p.node, sum(case when f.n_children is null then 1 else 0 end) as n_leaves, sum((n.n_convs - 1) * n.chars) as saved
+  from n left join f on f.parent = n.node join p on p.conv_id = n.conv_id and p.depth <= n.depth group by p.node
+)
+select n.conv_id, n.depth, up.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0)::bigint as n_children, s.n_leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, sha256(n.ends) as ends_sha256
+from n left join n as up on up.node = n.parent and n.depth > 0 left join f on f.parent = n.node join s on s.node = n.node
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
+OP13_SQL = f"""
+with d as (select doc_id, {WORDS_SQL} as w from documents), dw as (select doc_id, unnest(w) as word from d), tw as (select unnest({WORDS_SQL}) as word from benchmark),
+v as (select word, ({crc32_sql("word")}) % {importance_resampling.BUCKETS} as bucket from (select word from dw union select word from tw)),
+s as (select bucket, count(*) as n from dw join v using (word) group by bucket), t as (select bucket, count(*) as n from tw join v using (word) group by bucket),
+g as (
+  select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1.0::double) * ((select coalesce(sum(n), 0) from s) + {importance_resampling.BUCKETS}.0::double)
+    / ((coalesce(s.n, 0) + 1.0::double) * ((select coalesce(sum(n), 0) from t) + {importance_resampling.BUCKETS}.0::double)))) as gain
+  from s full join t using (bucket)
+), m as (select doc_id, floor(sum(gain) / count(*))::bigint as weight from dw join v using (word) join g using (bucket) group by doc_id),
+r as (
+  select doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance_resampling.SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score
+  from d left join m using (doc_id)
+), k as (
+  select *, row_number() over (partition by n_features >= {importance_resampling.MIN_WORDS} order by score desc, doc_id nulls last) as pos,
+    {importance_resampling.PERCENT} * (count(*) filter (n_features >= {importance_resampling.MIN_WORDS}) over ()) // 100 as room from r
+)
+select doc_id, n_features, weight, score, case when n_features >= {importance_resampling.MIN_WORDS} and pos <= room then pos end as rank from k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -250,6 +327,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_sharding": op9_sharding,
         "op10_url_filter": op10_url_filter,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
@@ -260,4 +339,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate": OP4_SQL,
         "op5_mix_sources": OP5_SQL,
         "op10_url_filter": OP10_SQL,
+        "op12_prefix_trie": OP12_SQL,
+        "op13_importance_resampling": OP13_SQL,
     }

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import ann_crosspolytope, chat_format, decontaminate, importance_resampling, line_dedup, mixing, prefix_trie, quality_fm, sharding, simhash_dedup, token_count, url_filter
+from sievework.llm import ann_crosspolytope, chat_format, decontaminate, importance_resampling, line_dedup, mixing, prefix_trie, quality_fm, repeated_phrases, sharding, simhash_dedup, token_count, url_filter
 from sievework.llm.common import table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -245,6 +245,24 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::bigint, {of}), lambda c, b: {bits}), 4294967295)"
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_phrases.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (
+  select doc_id, i, array_to_string(w[i:i + {repeated_phrases.WINDOW - 1}], ' ') as phrase from d, unnest(range(1, len(w) - {repeated_phrases.WINDOW - 2})) as u(i)
+), f as (select *, row_number() over (partition by phrase order by doc_id nulls last, i) as place from p),
+gone as (select distinct doc_id, unnest(range(i, i + {repeated_phrases.WINDOW})) as j from f where place > 1),
+l as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as j from d),
+k as (select doc_id, string_agg(word, ' ' order by j) as kept, count(*) as n from l anti join gone using (doc_id, j) group by doc_id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (doc_id)
+"""
+
+
 #: Conversations that share a head, and what is left when its turns are counted.
 SHARING, HEADS = 100, 6
 
@@ -327,6 +345,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_sharding": op9_sharding,
         "op10_url_filter": op10_url_filter,
+        "op11_substring_dedup": op11_substring_dedup,
         "op12_prefix_trie": op12_prefix_trie,
         "op13_importance_resampling": op13_importance_resampling,
     }
@@ -339,6 +358,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate": OP4_SQL,
         "op5_mix_sources": OP5_SQL,
         "op10_url_filter": OP10_SQL,
+        "op11_substring_dedup": OP11_SQL,
         "op12_prefix_trie": OP12_SQL,
         "op13_importance_resampling": OP13_SQL,
     }

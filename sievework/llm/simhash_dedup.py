@@ -30,7 +30,6 @@ from sievework.llm.common import ship_package, text_of, written
 from sievework.llm.mph import STEP, _mixed
 
 SEED, SEGMENTS, MAX_BITS = 42, 8, 3
-BUDGETS = [(n * MAX_BITS) // SEGMENTS for n in range(SEGMENTS + 1)]
 #: Nodes under one key from which a node's neighbours are looked up instead of compared one by one.
 MANY = 20_000
 #: Nodes under one key from which its free bits are split.
@@ -59,32 +58,6 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(texts, rings: int) -> np.ndarray:
-    """A row for each text: SimHashes of its distinct words, each counted once, for each ring with its own mix of the words' hashes; no words: 0."""
-    out, h = np.zeros((len(texts), rings), dtype=np.uint64), xxhash.xxh64_intdigest
-    known: dict[bytes, int] = {}
-    steps = STEP * np.arange(rings, dtype=np.uint64)
-    # A byte for each bit: 255 words add up as whole integers before a byte could run over.
-    bits = np.empty((BLOCK, 64 * rings), dtype=np.uint8)
-    lanes = bits.view(np.uint64)
-    for n, text in enumerate(texts):
-        words, counts = list(set(text.encode().lower().split())), np.zeros(64 * rings, dtype=np.int64)
-        for a in range(0, len(words), BLOCK):
-            some = words[a : a + BLOCK]
-            if len(known) + len(some) > BLOCK:
-                known.clear()
-            if new := [w for w in some if w not in known]:
-                hashes = np.fromiter(map(h, new, repeat(SEED)), dtype=np.uint64, count=len(new))
-                turned = np.stack([_mixed(hashes + s) for s in steps], axis=1).astype("<u8")
-                bits[len(known) : len(known) + len(new)] = np.unpackbits(turned.view(np.uint8), axis=1, bitorder="little")
-                known.update(zip(new, range(len(known), len(known) + len(new))))
-            at = np.fromiter(map(known.__getitem__, some), dtype=np.int64, count=len(some))
-            for k in range(0, len(at), 255):
-                counts += lanes[at[k : k + 255]].sum(axis=0).view(np.uint8)
-        out[n] = np.packbits(counts * 2 > len(words), bitorder="little").view("<u8")
-    return out
-
-
 def with_fingerprint(docs: DataFrame, keep: list[str], text_col: str = "text", width: int = 3) -> DataFrame:
     """The columns ``keep`` of ``docs`` and fp, the fingerprint as a signed long."""
     ship_package(docs.sparkSession)
@@ -101,14 +74,24 @@ def _turned(x: np.ndarray, bits: int) -> np.ndarray:
     return x if bits % 64 == 0 else (x << np.uint64(bits % 64)) | (x >> np.uint64(64 - bits % 64))
 
 
-def chain_holds(differences: np.ndarray) -> np.ndarray:
+def chain_holds(differences: np.ndarray, bits: int = MAX_BITS) -> np.ndarray:
     """Indexes of the differences (turned so that the chain starts at the top) that stay within every budget."""
     at = np.arange(len(differences))
     for n in range(1, SEGMENTS + 1):
-        at = at[np.bitwise_count(differences[at] >> np.uint64(64 - 64 // SEGMENTS * n)) <= BUDGETS[n]]
+        at = at[np.bitwise_count(differences[at] >> np.uint64(64 - 64 // SEGMENTS * n)) <= n * bits // SEGMENTS]
     return at
 
 
+def within(differences: np.ndarray, bits: int) -> np.ndarray:
+    """Which differences have a chain within the budgets for ``bits`` from some start: those of at most so many bits."""
+    found = np.zeros(len(differences), dtype=bool)
+    left = np.arange(len(differences))
+    for start in range(SEGMENTS):
+        found[left[chain_holds(_turned(differences[left], 64 // SEGMENTS * start), bits)]] = True
+        left = np.flatnonzero(~found)
+    return found
+
+
 @lru_cache(maxsize=1)
 def viable_differences() -> np.ndarray:
     """Every nonzero difference whose chain from the top holds."""
@@ -172,7 +155,7 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ends, centres = [], []
         for key, free in zip(batch["key"], batch["nodes"]):
-            turn = ring_of(int(key))[1]
+            turn = turn_of(int(key))
             for c in classes(unpacked(int(key), np.asarray(free))):
                 c = np.sort(_turned(c, 64 - turn).view(np.int64))
                 ends.append(c[1:])
@@ -181,23 +164,22 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": np.concatenate(ends), "b": np.concatenate(centres)})
 
 
-def keys_and_free(fps: np.ndarray, ring: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """For each start and variant (rows) and fingerprint (columns) the key and the 32 bits that it leaves free. A key also tells ring, start and variant."""
+def keys_and_free(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each start and variant (rows) and fingerprint (columns) the key and the 32 bits that it leaves free. A key also tells start and variant."""
     keys, free = [], []
     for i in range(SEGMENTS):
         turned = _turned(fps, 64 // SEGMENTS * i)
         segment = [turned >> np.uint64(56 - 8 * n) & np.uint64(255) for n in range(5)]
         for v, (x, y, z) in enumerate(VARIANTS):
-            start = np.uint64((3 * (SEGMENTS * ring + i) + v) << 32)
+            start = np.uint64((3 * i + v) << 32)
             keys.append((start | turned >> np.uint64(48) << np.uint64(16) | segment[x] << np.uint64(8) | segment[y]).view(np.int64))
             free.append((segment[z] << np.uint64(24) | turned & np.uint64(0xFFFFFF)).astype(np.uint32).view(np.int32))
     return np.stack(keys), np.stack(free)
 
 
-def ring_of(key: int) -> tuple[int, int]:
-    """The ring that a key is for, and the bits to turn it so that the chain starts at the top."""
-    ring, start = divmod((key >> 32) // 3, SEGMENTS)
-    return ring, 64 // SEGMENTS * start
+def turn_of(key: int) -> int:
+    """The bits to turn a key's fingerprints so that the chain starts at the top."""
+    return 64 // SEGMENTS * ((key >> 32) // 3)
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

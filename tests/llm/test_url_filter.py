@@ -1,6 +1,7 @@
 import random
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from sievework.llm import url_filter as u
@@ -33,12 +34,15 @@ def brute(captures, entries):
             named = (host == entry or host.endswith("." + entry)) if kind == "domain" else (f"{host}/{path}/" + "").startswith(entry + "/")
             before = [(e[5], e[4] == "add") for e in entries if e[:4] == (name, polarity, kind, entry) and e[5] <= at]
             if named and before and max(before)[1]:
-                names.append(f"{name} {polarity} {kind[0]}:{entry}")
-        out[id_] = (sorted(names), any(" block " in n for n in names) and not any(" allow " in n for n in names))
+                names.append((f"{name} {polarity} {kind[0]}:{entry}", polarity))
+        out[id_] = (sorted(n for n, _ in names), any(p == "block" for _, p in names) and not any(p == "allow" for _, p in names))
     return out
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize(("sent", "heavy"), [(1 << 24, 1000), (-1, 1000), (-1, 5), (-1, 1)])
+def test_equals_brute_force(spark, monkeypatch, sent, heavy):
+    """With list names that hold blanks and the names of the polarities; the list sent, or met in a shuffle with heavy keys and without."""
+    monkeypatch.setattr(u, "HEAVY", heavy)
     rng = random.Random(6)
     hosts = ["a.com", "b.a.com", "c.b.a.com", "xa.com", "d.org", "com"]
     paths = ["x", "x/y", "x/y/z", "xy", ""]
@@ -46,10 +50,10 @@ def test_equals_brute_force(spark):
     for _ in range(120):
         kind = rng.choice(["domain", "url"])
         entry = rng.choice(hosts) + ("/" + rng.choice(paths[:4]) if kind == "url" else "")
-        entries.append((rng.choice("LM"), rng.choice(["block", "block", "allow"]), kind, entry, rng.choice(["add", "remove"]), START + timedelta(rng.randrange(30))))
+        entries.append((rng.choice(["L", "easy list", "my allow", "block x block", "allow"]), rng.choice(["block", "block", "allow"]), kind, entry, rng.choice(["add", "remove"]), START + timedelta(rng.randrange(30))))
     captures = [(i, rng.choice(hosts), rng.choice(paths), START + timedelta(rng.randrange(-2, 33))) for i in range(400)]
     df = spark.createDataFrame([(i, f"https://{h}/{p}?q", at) for i, h, p, at in captures], "page_id long, url string, fetched date")
-    got = u.filter_captures(df, spark.createDataFrame(entries, ENTRIES)).collect()
+    got = u.filter_captures(df, spark.createDataFrame(entries, ENTRIES), sent_bytes=sent).collect()
     assert {r.page_id: (r.matches, r.blocked) for r in got} == brute(captures, entries)
     # Every interval is real: none is empty and none touches the next.
     for r in u.intervals(spark.createDataFrame(entries, ENTRIES)).collect():
@@ -57,6 +61,23 @@ def test_equals_brute_force(spark):
             assert v.stop is None or v.start < v.stop
 
 
+def test_polarity_is_not_read_from_texts(spark):
+    df = spark.createDataFrame([(1, "http://a.com/x", START), (2, "http://b.com/", START)], "page_id long, url string, fetched date")
+    entries = [("easy list", "block", "domain", "a.com", "add", START), ("x allow", "block", "domain", "b.com", "add", START), ("not block", "allow", "url", "b.com/z", "add", START)]
+    got = {r.page_id: (r.matches, r.blocked) for r in u.filter_captures(df, spark.createDataFrame(entries, ENTRIES)).collect()}
+    assert got == {1: (["easy list block d:a.com"], True), 2: (["x allow block d:b.com"], True)}
+
+
+def test_no_task_gets_a_heavy_key(spark):
+    """A list too large to send: what meets in the shuffle holds no key that many ask for, nor captures without host."""
+    rows = [(i, f"http://h{i}.com/x" if i % 3 else None, START) for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, fetched date").repartition(4)
+    entries = [("L", "block", "domain", f"h{i}.com", "add", START) for i in range(0, 3000, 2)] + [("L", "block", "domain", "com", "remove", START)]
+    got = u.filter_captures(df, spark.createDataFrame(entries, ENTRIES), sent_bytes=-1)
+    assert got.where("blocked").count() == sum(1 for i, url, _ in rows if url and i % 2 == 0)
+    assert "LeftAnti" in got._jdf.queryExecution().toString() and got.count() == 3000
+
+
 def test_query_equals_sql(same_as_sql):
     rows = same_as_sql("op10_url_filter")
     assert any(r[0] for r in rows)

@@ -50,12 +50,12 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     size is the text's UTF-8 bytes plus 1. Null text counts as empty text. Every row gets a place, repeated
     rows too, each its own slot; slots of a shard count from 0 without gaps, in an order that depends only on
     the rows (among rows that agree in id and text, on where they were read). Such rows are numbered in pieces, however many there are. grown_shard is null under this law. Columns of the input that have one of these names are
-    replaced. An empty table gives an empty result.
+    replaced, whatever their case. An empty table gives an empty result. A text's length matters to its size alone.
     """
     spark = docs.sparkSession
     text = text_of(text_col)
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     rows = docs.select(
         *(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(kept)),
         F.col(f"`{id_col}`").cast("string").alias("id"),
@@ -64,10 +64,10 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
         F.xxhash64(text).alias("group"),
     )
     groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    total, most = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     # Not more than CELLS groups can be as large as that.
-    heavy = groups.where(F.col("bytes") * CELLS >= total).select("group", (F.lit(CELLS) + F.row_number().over(Window.partitionBy().orderBy("group")) - 1).alias("own"))
-    heavy = F.broadcast(written(heavy, "shard-heavy"))
+    large = sorted(r.group for r in groups.where(F.col("bytes") * CELLS >= total).select("group").collect())
+    heavy = F.broadcast(spark.createDataFrame([(g, CELLS + i) for i, g in enumerate(large)], "group long, own int"))
     cell = F.coalesce("own", F.pmod("group", F.lit(CELLS))).cast("int").alias("cell")
     cells = groups.join(heavy, "group", "left").groupBy(cell).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect()
     part = differencing({r.cell: r.bytes for r in cells}, shards)
@@ -77,9 +77,10 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     placed = rows.join(heavy, "group", "left").withColumn("cell", cell).drop("own").join(F.broadcast(places), "cell").withColumn("piece", lot).withColumn("at", F.lit(0).cast("long"))
 
     # Rows that agree in id and text have one lot: where they are many, their places in the table deal them out.
-    alike = placed.groupBy("id", "group").agg(F.count("*").alias("rows"), F.max("pieces").alias("most")).where(F.col("rows") > PIECE_ROWS)
-    alike = written(alike.select(F.col("id").alias("many_id"), F.col("group").alias("many_group"), F.lit(True).alias("many")), "shard-alike")
-    if not alike.isEmpty():
+    many_of = groups.where(F.col("n") > PIECE_ROWS).select("group")
+    alike = placed.join(many_of, "group", "left_semi").groupBy("id", "group").agg(F.count("*").alias("rows")).where(F.col("rows") > PIECE_ROWS)
+    alike = alike.select(F.col("id").alias("many_id"), F.col("group").alias("many_group"), F.lit(True).alias("many"))
+    if most > PIECE_ROWS and not (alike := written(alike, "shard-alike")).isEmpty():
         placed = placed.join(alike, F.col("id").eqNullSafe(F.col("many_id")) & (F.col("group") == F.col("many_group")), "left").drop("many_id", "many_group")
         many = written(placed.where("many").withColumn("at", F.monotonically_increasing_id()), "shard-many")
         many = many.withColumn("piece", F.lit(1 << 32) + F.expr(f"at div {PIECE_ROWS}"))

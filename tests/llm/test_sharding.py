@@ -93,3 +93,11 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     lawful(rows)
     assert sharding.assign_shards(no_docs).count() == 0
+
+
+def test_names_in_any_case_are_replaced(spark, odd_docs, tmp_path):
+    docs = odd_docs.select("doc_id", "text", "lang", F.lit("x").alias("Size"), F.lit("y").alias("SHARD"), F.lit("z").alias("Law"))
+    sharding.assign_shards(docs).write.parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.columns == ["doc_id", "text", "lang", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    lawful(back.collect())

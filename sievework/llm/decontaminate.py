@@ -4,12 +4,13 @@ Documents are cut into shards of a bounded number of words; each shard gets a su
 with a separator of its own after every document. Every suffix of every benchmark item is searched in every shard by
 binary search, one word deeper at a time: where the interval of the array runs empty is the
 longest verbatim match, and the interval at the depth of a window holds all places where the window occurs.
-Documents stay where they are; only the benchmark travels, in blocks of a bounded size. A shard's suffix array is built once and meets the
-blocks one after the other, each loaded from the executor's disk and let go again, so a task holds one shard and one block.
+Documents stay where they are; only the benchmark travels, in packed blocks of bounded bytes. A shard's suffix array is built once and meets the
+blocks one after the other, so a task holds one shard, the packed blocks and one of them unpacked.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from sievework.llm.common import fresh, ship_package, text_of
 
 WINDOW = 10
-#: Words of a shard (a longer document is a shard alone); UTF-8 bytes of a block of the benchmark, and of all blocks that are sent out for one search.
-SHARD_WORDS, BLOCK_BYTES, MOST_BYTES = 1 << 19, 8_000_000, 1_000_000_000
+#: Words of a shard (a longer document is a shard alone); bytes of a packed block of the benchmark, and of all blocks that are sent out for one search.
+SHARD_WORDS, BLOCK_BYTES, MOST_BYTES = 1 << 19, 4_000_000, 128_000_000
+#: Bytes that a packed block takes besides words and names, and for each piece; bytes of a word that are usual.
+FRAME_BYTES, PIECE_BYTES, WORD_BYTES = 400, 20, 8
 #: Fixed pattern: in UTF-8 no other byte belongs to a word.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOUND = "n_words long, n_hit long, items array<string>, starts array<long>, ends array<long>, longest long, longest_at long, longest_item string"
@@ -87,21 +90,54 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """Some items of the benchmark as numbered words. items: (id, words)."""
+    """Pieces of the benchmark as numbered words. pieces: (item's id, words, whether it is the whole item)."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        items = [(i, w) for i, w in items if w]
+    def __init__(self, pieces: list[tuple[str, list[bytes], bool]], window: int):
         vocabulary = Vocabulary()
-        self.ids, self.window = [i for i, _ in items], window
-        self.words = np.array([vocabulary[w] for _, ws in items for w in ws], dtype=np.int64)
-        self.vocabulary = list(vocabulary)
-        sizes = np.array([len(ws) for _, ws in items], dtype=np.int64)
-        ends = np.cumsum(sizes)
-        self.item = np.repeat(np.arange(len(items)), sizes)
-        self.room = ends[self.item] - np.arange(len(self.words)) if items else sizes
+        words = np.fromiter((vocabulary[w] for _, ws, _ in pieces for w in ws), dtype=np.int32)
+        self._made([i for i, _, _ in pieces], words, np.array([len(ws) for _, ws, _ in pieces], dtype=np.int32), np.array([whole for _, _, whole in pieces], dtype=bool), list(vocabulary), window)
+
+    def _made(self, ids: list[str], words: np.ndarray, sizes: np.ndarray, whole: np.ndarray, vocabulary: list[bytes], window: int) -> None:
+        self.ids, self.words, self.sizes, self.whole, self.vocabulary, self.window = ids, words, sizes, whole, vocabulary, window
+        self.item = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.room = np.cumsum(sizes, dtype=np.int64)[self.item] - np.arange(len(words))
         # The depth at which a suffix is a window; 0: the end of a longer item, not a window.
-        whole = np.minimum(sizes, window)[self.item] if items else sizes
-        self.depth = np.where(self.room >= whole, whole, 0)
+        depth = np.where(whole, np.minimum(sizes, window), window)[self.item]
+        self.depth = np.where(self.room >= depth, depth, 0)
+
+    def packed(self) -> bytes:
+        """What is sent: 4 bytes a word, and each different word once."""
+        return pickle.dumps((self.ids, self.words.tobytes(), self.sizes.tobytes(), self.whole.tobytes(), b" ".join(self.vocabulary), self.window))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Block:
+        ids, words, sizes, whole, vocabulary, window = pickle.loads(data)
+        block = cls.__new__(cls)
+        block._made(ids, np.frombuffer(words, dtype=np.int32), np.frombuffer(sizes, dtype=np.int32), np.frombuffer(whole, dtype=bool), vocabulary.split(), window)
+        return block
+
+
+def blocks_of(items: Iterable[tuple[str, str]], window: int, block_bytes: int) -> Iterator[bytes]:
+    """(id, text) -> packed blocks of ``block_bytes`` at most, or of one piece where that is larger.
+
+    An item that would fill more than half a block is cut into pieces that overlap by half, at least by a window less a word: each of its windows lies whole in one of them.
+    """
+    longest = max(4 * window, block_bytes // (2 * (WORD_BYTES + 4)))
+    pieces, known, size = [], set(), FRAME_BYTES
+    for i, text in items:
+        words = words_of(text)
+        for a in range(0, max(1, len(words) - longest // 2), longest // 2) if len(words) > longest else [0] if words else []:
+            piece = words[a : a + longest]
+            more = 4 * len(piece) + len(i.encode()) + PIECE_BYTES
+            new = set(piece) - known
+            if pieces and size + more + sum(len(w) + 1 for w in new) > block_bytes:
+                yield Block(pieces, window).packed()
+                pieces, known, size, new = [], set(), FRAME_BYTES, set(piece)
+            pieces.append((i, piece, len(words) <= longest))
+            known |= new
+            size += more + sum(len(w) + 1 for w in new)
+    if pieces:
+        yield Block(pieces, window).packed()
 
 
 def search_shard(words: np.ndarray, sa: np.ndarray, vocabulary: dict, doc_of: np.ndarray, block: Block):
@@ -190,16 +226,13 @@ def search_texts(texts: list[str], blocks: Iterable[Block], shard_words: int = S
 
 
 class Sent:
-    """Blocks that were broadcast. More than one are loaded from disk in turn, and not kept."""
+    """Packed blocks that were broadcast together; one at a time is unpacked."""
 
-    def __init__(self, shared: list):
+    def __init__(self, shared):
         self.shared = shared
 
     def __iter__(self) -> Iterator[Block]:
-        for block in self.shared:
-            yield block.value
-            if len(self.shared) > 1 and getattr(block, "_path", None):
-                vars(block).pop("_value", None)
+        return map(Block.unpacked, self.shared.value)
 
 
 def _searcher(sent: Sent, shard_words: int):
@@ -211,40 +244,53 @@ def _searcher(sent: Sent, shard_words: int):
     return search
 
 
-def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
-    """id and text of the items, and the bytes of all texts."""
-    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("id"), text_of(item_text_col).alias("text"))
-    return items, items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """id and text of the items; equal ones are one."""
+    return benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("id"), text_of(item_text_col).alias("text")).distinct()
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, out: str = "found", shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _parts(items: DataFrame, window: int, block_bytes: int, most_bytes: int) -> Iterator[list[bytes]]:
+    """The blocks of the benchmark in lists of ``most_bytes`` at most, one at a time on the driver. Items come to it a partition at a time."""
+    part, size = [], 0
+    rows = ((r.id, r.text) for r in items.orderBy("id", F.md5(F.col("text").cast("binary"))).toLocalIterator())
+    for block in blocks_of(rows, window, block_bytes):
+        if part and size + len(block) > most_bytes:
+            yield part
+            part, size = [], 0
+        part.append(block)
+        size += len(block)
+    yield part
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, out: str = "found", shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``docs``, all columns, with a struct ``out`` of the fields of FOUND.
 
     n_hit counts the document's words inside any occurrence of a window (``window`` consecutive words of an item, or a shorter
     item whole); starts and ends are the merged stretches of such words, items the ids (as strings, sorted) of
     items with such a window; longest, longest_at and longest_item are the longest verbatim match that holds a window and
     where in the document it is (ties: the first place, then the least item). Null texts and texts without words match nothing, nor do such items. A null item_id counts as the
-    id "". Items with equal ids count once. A column of the input named like ``out`` is replaced. A benchmark of more than MOST_BYTES is an error: it would be
-    too much to send to every executor; ``decontaminated`` takes one of any size.
+    id "". Items with equal ids count once, and items that agree in id and text are one. An empty table gives an empty one. Texts of any length are searched whole: a longer document is a shard alone, and an item longer than half
+    a block is searched in pieces that overlap by half, so that its windows are all found; only a longest match of more than a quarter of a block may be reported shorter. A column of the input named like ``out`` is replaced.
+    A benchmark of more than ``most_bytes``, as it is packed, is an error: it would be too much to send to every task; ``decontaminated`` takes one of any size.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    items, size = _items(benchmark, item_col, item_text_col)
-    if size > MOST_BYTES:
-        raise ValueError(f"a benchmark of {size} bytes; at most {MOST_BYTES} are searched at once")
-    blocks, shared = 1 + size // block_bytes, []
-    for n in range(blocks):  # one at a time on the driver
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == n).collect()
-        shared.append(spark.sparkContext.broadcast(Block(sorted((r.id, words_of(r.text)) for r in rows), window)))
-    return docs.withColumn(out, _searcher(Sent(shared), shard_words)(text_of(text_col)))
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that hold a window of the benchmark; same columns. A benchmark of more than MOST_BYTES is searched in parts."""
+    ship_package(docs.sparkSession)
+    parts = _parts(_items(benchmark, item_col, item_text_col), window, block_bytes, most_bytes)
+    first = next(parts)
+    if next(parts, None) is not None:
+        raise ValueError(f"a benchmark of more than {most_bytes} bytes, as it is packed")
+    return _searched(docs, first, text_col, out, shard_words)
+
+
+def _searched(docs: DataFrame, blocks: list[bytes], text_col: str, out: str, shard_words: int) -> DataFrame:
+    return docs.withColumn(out, _searcher(Sent(docs.sparkSession.sparkContext.broadcast(blocks)), shard_words)(text_of(text_col)))
+
+
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, most_bytes: int = MOST_BYTES
+) -> DataFrame:
+    """``docs`` without the documents that hold a window of the benchmark; same columns. A benchmark of more than ``most_bytes``, as it is packed, is searched in parts."""
+    ship_package(docs.sparkSession)
     found = fresh(docs, "found")
-    items, size = _items(benchmark, item_col, item_text_col)
-    parts = 1 + size // (MOST_BYTES // 2)
-    for n in range(parts):
-        part = items.where(F.pmod(F.xxhash64("text", "id"), F.lit(parts)) == n) if parts > 1 else items
-        docs = find_matches(docs, part, item_col="id", item_text_col="text", out=found, **how).where(F.col(f"`{found}`.n_hit") == 0).drop(found)
+    for part in _parts(_items(benchmark, item_col, item_text_col), window, block_bytes, most_bytes):
+        docs = _searched(docs, part, text_col, found, shard_words).where(F.col(f"`{found}`.n_hit") == 0).drop(found)
     return docs

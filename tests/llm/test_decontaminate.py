@@ -45,7 +45,7 @@ def test_search_equals_brute_force():
         text = lambda n: " ".join(rng.choice(bits) for _ in range(n))
         items = [(i, text(rng.randrange(9))) for i in range(4)] + [(9, None), (1, text(5))]
         docs = [text(rng.randrange(30)) for _ in range(5)] + ["", items[0][1] + " x"]
-        block = d.Block([(str(i), d.words_of(t or "")) for i, t in items], 4)
+        block = d.Block([(str(i), w, True) for i, t in items if (w := d.words_of(t or ""))], 4)
         for size in (1, 20, 10**6):
             for t, got in zip(docs, d.search_texts(docs, [block], size), strict=True):
                 words, n_hit, holders, longest = brute(t, items, 4)
@@ -61,7 +61,51 @@ def test_query_equals_sql(same_as_sql):
     assert any(r[0] for r in rows) and not all(r[0] for r in rows)
 
 
-def test_blocks_give_the_same(spark, sf_dir, monkeypatch):
+def unpacked(rows, window, block_bytes):
+    packed = list(d.blocks_of(rows, window, block_bytes))
+    return packed, [d.Block.unpacked(x) for x in packed]
+
+
+def test_blocks_are_bounded():
+    """Repeated words, new words and long names; an item longer than a block lies in pieces that hold each of its windows."""
+    rng = random.Random(7)
+    say = lambda n: " ".join(f"word{rng.randrange(3000)}" for _ in range(n))
+    items = [(str(i), say(rng.randrange(60))) for i in range(300)] + [("long", say(5000)), ("x" * 200, say(30)), ("short", "a b")]
+    for most in (4_000, 20_000, 10**6):
+        packed, blocks = unpacked(items, 10, most)
+        assert all(len(x) <= most for x in packed) and len(packed) < 3 + 3 * sum(len(t) for _, t in items) / most
+        windows = {}
+        for b in blocks:
+            words = [b.vocabulary[w] for w in b.words]
+            for at in np.flatnonzero(b.depth):
+                windows.setdefault(b.ids[b.item[at]], set()).add(tuple(words[at : at + b.depth[at]]))
+        for i, t in items:
+            w = d.words_of(t)
+            n = min(len(w), 10)
+            assert windows.get(i, set()) == {tuple(w[a : a + n]) for a in range(len(w) - n + 1 if w else 0)}
+    assert unpacked([], 10, 100) == ([], [])
+
+
+def test_equal_items_are_one(spark):
+    bench = spark.createDataFrame([("same", "one two three four")] * 5_000 + [(str(i), f"five six {i}") for i in range(100)], "item_id string, text string")
+    parts = list(d._parts(d._items(bench, "item_id", "text"), 10, 5_000, 10**6))
+    blocks = [d.Block.unpacked(x) for x in parts[0]]
+    assert len(parts) == 1 and sum(len(b.ids) for b in blocks) == 101 and all(len(x) <= 5_000 for x in parts[0])
+
+
+def test_long_items_in_pieces(spark):
+    """Answers don't depend on where an item is cut."""
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(50)}" for _ in range(n)]
+    item = say(3000)
+    texts = [" ".join(say(rng.randrange(20)) + item[a : a + n] + say(5)) for a in range(0, 2900, 97) for n in (3, 9, 10, 25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[500:530]))], "item_id long, text string")
+    one, many = ({r.doc_id: tuple(r.found) for r in d.find_matches(docs, bench, block_bytes=b).collect()} for b in (10**8, 2_000))
+    assert one == many and sum(1 for x in one.values() if x[1]) == len(texts) // 2
+
+
+def test_blocks_give_the_same(spark, sf_dir):
     """All fields, ties of the longest match among them, in one pass over the texts whatever the number of blocks."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -74,10 +118,10 @@ def test_blocks_give_the_same(spark, sf_dir, monkeypatch):
     clean = {k for k, v in one.items() if not v[1]}
     assert d.decontaminated(docs, bench).columns == docs.columns
     assert {r.doc_id for r in d.decontaminated(docs, bench).collect()} == clean
-    monkeypatch.setattr(d, "MOST_BYTES", 20_000)  # a benchmark too large to be sent out at once
-    assert {r.doc_id for r in d.decontaminated(docs, bench, block_bytes=3000).collect()} == clean
-    with pytest.raises(ValueError, match="at once"):
-        d.find_matches(docs, bench.union(bench))
+    # A benchmark too large to be sent out at once.
+    assert {r.doc_id for r in d.decontaminated(docs, bench, block_bytes=3000, most_bytes=10_000).collect()} == clean
+    with pytest.raises(ValueError, match="more than"):
+        d.find_matches(docs, bench, block_bytes=3000, most_bytes=10_000)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):

@@ -27,8 +27,8 @@ TABLES, ROTATIONS, PROBES, ROUNDS = 16, 2, 320, 3
 AXES, GROUPS = 64, 16
 #: Bytes of the vectors, as doubles, of one piece of a group; rows that are hashed at once.
 PIECE_BYTES, BLOCK = 16 << 20, 256
-#: Coarse scores within this of the last one kept are all reranked.
-MARGIN = 1e-9
+#: Coarse scores within this of the last one kept are all reranked; pairs of one group that are held before the best are taken; vectors that are compared with all queries at once.
+MARGIN, PAIRS, ALL_AT_ONCE = 1e-9, 1 << 20, 1 << 12
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -80,6 +80,7 @@ def groups_of(codes: np.ndarray, length: int, table: int, rotations: int) -> np.
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -132,49 +133,73 @@ def _probe(tables: int, rotations: int, probes: int | None):
     return add
 
 
-def _places(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The places in the sorted ``codes`` of those that are wanted; all if none is named."""
-    if not len(wanted):
-        return np.arange(len(codes))
-    low, high = np.searchsorted(codes, wanted), np.searchsorted(codes, wanted, side="right")
-    some = low < high
-    low, sizes = low[some], (high - low)[some]
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component near one: no cosine changes, and none overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _meeting(codes: np.ndarray, wanted: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
+    """Of the sorted ``codes`` each bucket that queries want, and these; a query that names none wants all."""
+    every = np.array([n for n, w in enumerate(wanted) if not len(w)], dtype=np.int64)
+    for a in range(0, len(codes), ALL_AT_ONCE) if len(every) else ():
+        yield slice(a, a + ALL_AT_ONCE), every
+    asked = np.concatenate([np.asarray(w, dtype=np.int64) for w in wanted])
+    of = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted])
+    own, starts, sizes = np.unique(codes, return_index=True, return_counts=True)
+    there = np.isin(asked, own)
+    order = np.argsort(asked[there], kind="stable")
+    asked, of = asked[there][order], of[there][order]
+    names, begin = np.unique(asked, return_index=True)
+    at = np.searchsorted(own, names)
+    for a, n, x, y in zip(starts[at].tolist(), sizes[at].tolist(), begin.tolist(), np.append(begin[1:], len(asked)).tolist()):
+        yield slice(a, a + n), of[x:y]
+
+
+def _best(of: np.ndarray, at: np.ndarray, score: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query (sorted) the pairs within MARGIN of its ``top`` best scores."""
+    order = np.lexsort((-score, of))
+    of, at, score = of[order], at[order], score[order]
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    sizes = np.diff(np.append(first, len(of)))
+    last = score[first + np.minimum(sizes, top) - 1]
+    kept = score >= np.repeat(last, sizes) - MARGIN
+    return of[kept], at[kept], score[kept]
 
 
 def _rerank(top: int):
     def rank(key, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found_of, found_at, scores = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
+        of, at, score = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
         if len(vectors) and len(queries):
             vectors = vectors.iloc[np.argsort(vectors["code"].to_numpy(), kind="stable")]
-            first, codes = vectors["first_id"].to_numpy(), vectors["code"].to_numpy()
-            v = np.stack(list(vectors["vec"])).astype(float)
-            norms = np.sqrt((v * v).sum(axis=1))
-            for n, (vec, wanted) in enumerate(zip(queries["vec"], queries["codes"])):
-                at = _places(codes, np.asarray(wanted, dtype=np.int64))
-                if not len(at):
-                    continue
-                q = np.asarray(vec, dtype=float)
-                norm = np.sqrt((q * q).sum())
-                near = v[at]
-                if len(at) > top:
-                    coarse = near @ q / (norms[at] * norm)
-                    some = coarse >= np.partition(coarse, -top)[-top] - MARGIN
-                    at, near = at[some], near[some]
-                # Products summed per pair: the same score in every bucket where the pair meets.
-                score = (near * q).sum(axis=1) / (norms[at] * norm)
-                best = np.lexsort((first[at], -score))[:top]
-                found_of.append(np.full(len(best), n))
-                found_at.append(at[best])
-                scores.append(score[best])
-        of, at = np.concatenate(found_of), np.concatenate(found_at)
-        return pd.DataFrame({"qkey": queries["vkey"].to_numpy()[of], "vkey": vectors["vkey"].to_numpy()[at], "first_id": vectors["first_id"].to_numpy()[at], "score": np.concatenate(scores)})
+            v, q = scaled(np.stack(list(vectors["vec"])).astype(float)), scaled(np.stack(list(queries["vec"])).astype(float))
+            v_norms, q_norms = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+            v_unit, q_unit = v / v_norms[:, None], q / q_norms[:, None]
+            held, parts = 0, [(of, at, score)]
+            for bucket, who in _meeting(vectors["code"].to_numpy(), list(queries["codes"])):
+                # One product for a bucket and all queries that probe it.
+                near = q_unit[who] @ v_unit[bucket].T
+                n = near.shape[1]
+                parts.append((np.repeat(who, n), np.tile(np.arange(bucket.start, bucket.start + n), len(who)), near.ravel()))
+                held += near.size
+                if held > PAIRS:
+                    parts = [_best(*map(np.concatenate, zip(*parts)), top)]
+                    held = 0
+            of, at, _ = _best(*map(np.concatenate, zip(*parts)), top)
+            # Products summed per pair: the same score in every bucket where the pair meets.
+            score = (v[at] * q[of]).sum(axis=1) / (v_norms[at] * q_norms[of])
+            order = np.lexsort((vectors["first_id"].to_numpy()[at], -score, of))
+            of, at, score = of[order], at[order], score[order]
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            of, at, score = of[place < top], at[place < top], score[place < top]
+        return pd.DataFrame({"qkey": queries["vkey"].to_numpy()[of], "vkey": vectors["vkey"].to_numpy()[at], "first_id": vectors["first_id"].to_numpy()[at], "score": score})
 
     return rank
 
 
 def _pieces(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("slot").agg((1 + F.floor(F.sum(F.size("vec")) * 8 / PIECE_BYTES)).cast("long").alias("pieces"))
+    """Pieces of each group, by the bytes of vectors and of lists of buckets."""
+    held = F.size("vec") + (F.size("codes") if "codes" in rows.columns else F.lit(0))
+    return rows.groupBy("slot").agg((1 + F.floor(F.sum(held) * 8 / PIECE_BYTES)).cast("long").alias("pieces"))
 
 
 def _search(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
@@ -200,7 +225,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     Ties go to the smaller id. Rows with a null id, or with a null, empty or zero vector or one that holds null or non-finite
     components, take no part; vectors of different length are never compared. Rows with equal ids are the query's own, and
-    equal rows count once. Queries without other vectors of their length have no answer. Other columns are not read.
+    equal rows count once. Queries without other vectors of their length have no answer. An empty table gives an empty result. Components of any finite size are compared without overflow. Other columns are not read.
     """
     ship_package(vectors.sparkSession)
     # Floats travel as floats: every task turns them into doubles, which changes no value and moves half the bytes.

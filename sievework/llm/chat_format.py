@@ -137,10 +137,16 @@ def turns_of_table(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return grouped.select("conv_id", name, F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
+def _are_objects(elements: Column) -> Column:
+    """Which elements of a list are objects, by their type: a string that holds JSON is a string."""
+    return F.transform(elements, lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
+
+
 def _json_text(item: Column, field: str) -> Column:
     """A field of a JSON object as text. A list counts as parts: of strings, and of objects the text."""
     parts = F.from_json(item, f"struct<`{field}`:array<string>>")[field]
-    said = F.transform(parts, lambda p: F.when(F.json_object_keys(p).isNull(), p).otherwise(F.get_json_object(p, "$.text")))
+    kinds = _are_objects(F.try_variant_get(F.try_parse_json(item), f"$.{field}", "array<variant>"))
+    said = F.transform(parts, lambda p, i: F.when(F.coalesce(F.get(kinds, i), F.json_object_keys(p).isNotNull()), F.get_json_object(p, "$.text")).otherwise(p))
     return F.when(parts.isNotNull(), F.array_join(said, BETWEEN_PARTS)).otherwise(F.get_json_object(item, f"$.{field}"))
 
 
@@ -148,13 +154,15 @@ def turns_of_json(df: DataFrame, record_col: str = "record", id_path: str = "$.i
     """(conv_id, layout, turns) of JSON records of mixed layouts, one row per record, repeated ones too.
 
     conv_id is the id as text, null where there is none. A record that is null, empty, no JSON object or of no known layout stays, with a null layout and no turns. Elements of a
-    list of turns that are no objects are left out, the others stay. A content given as a list of parts is the parts' texts, joined by a newline; parts
+    list of turns that are no objects are left out, strings that hold one too, the others stay. A content given as a list of parts is the parts' texts, joined by a newline; parts
     without text are left out. Other columns are not read. An empty table gives an empty result.
     """
     record = F.col(f"`{record_col}`").cast("string")
     lists = {x.items[0] for x in LAYOUTS if x.items}
     # Elements as JSON text, those that are objects.
-    as_list = lambda f: F.filter(F.from_json(F.get_json_object(record, f"$.{f}"), "array<string>"), lambda m: F.json_object_keys(m).isNotNull())
+    def as_list(f: str) -> Column:
+        kinds = _are_objects(F.try_variant_get(F.try_parse_json(record), f"$.{f}", "array<variant>"))
+        return F.filter(F.from_json(F.get_json_object(record, f"$.{f}"), "array<string>"), lambda m, i: F.coalesce(F.get(kinds, i), F.json_object_keys(m).isNotNull()))
 
     def nested(f: str) -> Column:
         of_one = lambda m: F.transform(F.json_object_keys(m), lambda k: F.concat(F.lit(f"{f}[]."), k))

@@ -6,7 +6,7 @@ A window of words goes where the same words already stand earlier, in a document
    anchors, at the same place. Only anchors are counted over all documents, about one for seven words; equal texts count once.
 2. Confirming. Around an anchor that recurs, the windows that it represents make a stretch of a few more words than a window. Equal stretches are one phrase; windows of all phrases are
    counted by 128 bits, with the first place of each. Windows that stand in two places or more are confirmed.
-3. Automata. Phrases are dealt by their anchor to shards. A shard's confirmed windows are compiled into an Aho-Corasick automaton over word numbers, at most about SHARD of them, and
+3. Automata. Phrases are dealt by their anchor to shards. A shard's confirmed windows (neighbours that only one phrase has, as one pattern) are compiled into an Aho-Corasick automaton over word numbers, at most about SHARD of them, and
    every phrase of the shard streams through it. The automaton compares words, so hashes decide nothing by themselves. An anchor with more than CROWDED phrases is dealt by the
    windows' own words instead, so no shard holds all that a crowded anchor has.
 4. The answer for a phrase goes to each document that has it, which compares the first places with its own.
@@ -37,7 +37,7 @@ SHARD, CROWDED = 20_000, 2_000
 #: Bytes that are sent to all tasks instead of moving what they are joined to.
 SENT_BYTES = 32 << 20
 #: Words whose hashes a task remembers; windows whose anchors are found at once; rows from which a task hands stretches on.
-KNOWN, BLOCK, ROWS = 1 << 18, 1 << 20, 20_000
+KNOWN, BLOCK, ROWS = 1 << 16, 1 << 20, 20_000
 SEED = 11
 
 
@@ -147,6 +147,19 @@ def _windows(window: int):
     return windows
 
 
+def runs(offsets, alone) -> list[tuple[int, int]]:
+    """Confirmed windows as patterns: neighbours that no other phrase has are one, with their number."""
+    out: list[tuple[int, int]] = []
+    open_ = False
+    for o, only in zip(offsets, alone):
+        if open_ and only and out[-1][0] + out[-1][1] == o:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((int(o), 1))
+        open_ = only
+    return out
+
+
 def _located(window: int):
     """Rows in order of shard, patterns before texts: each shard's patterns are compiled, then its texts stream through."""
 
@@ -154,16 +167,16 @@ def _located(window: int):
         shard, numbers, places, automaton, ready = None, {}, [], None, False
         for batch in batches:
             out = []
-            for at_shard, is_text, words, offsets, no, at, phrase, offset in zip(*(batch[c] for c in ("shard", "is_text", "words", "offsets", "no", "at", "phrase", "offset"))):
+            for at_shard, is_text, words, offsets, alone, no, at, phrase, offset in zip(*(batch[c] for c in ("shard", "is_text", "words", "offsets", "alone", "no", "at", "phrase", "offset"))):
                 if at_shard != shard:
                     shard, numbers, places, ready = at_shard, {}, [], False
                     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
                 said = words.split(b" ")
                 if not is_text:
                     key = [numbers.setdefault(w, len(numbers) + 1) for w in said]
-                    for o in offsets:
-                        automaton.add_word(tuple(key[o : o + window]), len(places))
-                        places.append((no, at + int(o)))
+                    for o, n in runs(offsets, alone):
+                        automaton.add_word(tuple(key[o : o + n + window - 1]), len(places))
+                        places.append((no, at + o, n))
                     continue
                 if not places:
                     continue
@@ -173,11 +186,12 @@ def _located(window: int):
                 # Neighbouring windows that first stand side by side are one row.
                 last = None
                 for end, i in automaton.iter(tuple([numbers.get(w, 0) for w in said])):
-                    o, (first_no, first_at) = offset + end - window + 1, places[i]
+                    first_no, first_at, n = places[i]
+                    o = offset + end - window - n + 2
                     if last and last[1] + last[2] == o and last[3] == first_no and last[4] + last[2] == first_at:
-                        last[2] += 1
+                        last[2] += n
                     else:
-                        out.append(last := [phrase, o, 1, first_no, first_at])
+                        out.append(last := [phrase, o, n, first_no, first_at])
             yield pd.DataFrame(out, columns=["phrase", "offset", "windows", "first_no", "first_at"])
 
     return located
@@ -224,17 +238,18 @@ def _decided(rows: DataFrame, id_type: str, window: int, shard: int, crowded: in
     phrases = stretches.groupBy("phrase").agg(F.min(F.struct("no", "at")).alias("place"), F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.first("words").alias("words"))
     phrases = written(phrases.select("phrase", "anchor", "words", "place.no", "place.at", "n"), "phrases")
     counted = phrases.select("words", "no", "at", "n").mapInPandas(_windows(window), "hash binary, offset int, no long, at int, n long")
-    confirmed = counted.groupBy("hash").agg(F.min(F.struct("no", "at", "offset")).alias("place"), F.sum("n").alias("n")).where("n > 1")
-    confirmed = written(confirmed.groupBy("place.no", "place.at").agg(F.sort_array(F.collect_list("place.offset")).alias("offsets")), "confirmed")
+    confirmed = counted.groupBy("hash").agg(F.min(F.struct("no", "at", "offset")).alias("place"), F.sum("n").alias("n"), F.count("*").alias("phrases")).where("n > 1")
+    confirmed = confirmed.groupBy("place.no", "place.at").agg(F.sort_array(F.collect_list(F.struct("place.offset", (F.col("phrases") == 1).alias("alone")))).alias("c"))
+    confirmed = written(confirmed.select("no", "at", F.col("c.offset").alias("offsets"), F.col("c.alone").alias("alone")), "confirmed")
 
     shards = max(1, -(-(confirmed.agg(F.sum(F.size("offsets"))).first()[0] or 0) // shard))
     full = written(phrases.groupBy("anchor").agg(F.count("*").alias("under")).where(F.col("under") > crowded).select("anchor", F.lit(True).alias("full")), "crowded-anchors")
     of = phrases.join(confirmed, ["no", "at"], "left").join(_sent_if_small(full, F.lit(32), sent_bytes), "anchor", "left")
-    whole = of.where("full is null").select(F.col("anchor").alias("key"), "words", "offsets", "no", "at", "phrase", F.lit(0).alias("offset"))
+    whole = of.where("full is null").select(F.col("anchor").alias("key"), "words", "offsets", "alone", "no", "at", "phrase", F.lit(0).alias("offset"))
     each = of.where("full").withColumn("said", F.split(F.col("words").cast("string"), " ")).withColumn("offset", F.explode(F.sequence(F.lit(0), F.size("said") - window)))
-    alone = F.array_join(F.slice("said", F.col("offset") + 1, window), " ").cast("binary")
+    single = F.array_join(F.slice("said", F.col("offset") + 1, window), " ").cast("binary")
     own = F.when(F.array_contains("offsets", F.col("offset")), F.array(F.lit(0)))
-    each = each.select(F.xxhash64(alone).alias("key"), alone.alias("words"), own.alias("offsets"), "no", (F.col("at") + F.col("offset")).alias("at"), "phrase", "offset")
+    each = each.select(F.xxhash64(single).alias("key"), single.alias("words"), own.alias("offsets"), F.when(own.isNotNull(), F.array(F.lit(False))).alias("alone"), "no", (F.col("at") + F.col("offset")).alias("at"), "phrase", "offset")
     both = whole.unionByName(each).withColumn("is_text", F.explode(F.when(F.col("offsets").isNull(), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
     dealt = both.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(parts, "shard").sortWithinPartitions("shard", "is_text")
     answers = written(dealt.mapInPandas(_located(window), "phrase binary, offset int, windows int, first_no long, first_at int"), "answers")

@@ -34,8 +34,8 @@ SEED, SEGMENTS, MAX_BITS = 42, 8, 3
 MANY = 20_000
 #: Nodes under one key from which its free bits are split.
 SPLIT = 1 << 16
-#: Shingles whose bits are counted at once.
-BLOCK = 65_536
+#: Shingles whose bits are counted at once; a fingerprint is heavy from this fraction of the rows.
+BLOCK, HEAVY = 65_536, 1_000
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -231,13 +231,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Fingerprints that differ in at most 3 bits link; component_id is the least id that links lead to, the row's
     own included. Null and blank texts have fingerprint zero, which links like any other. Null ids name no component: where all
-    rows of one have none, component_id is null. Repeated rows stay. Other columns are not read.
+    rows of one have none, component_id is null. Repeated rows stay. An empty table gives an empty result. Texts of any length count whole, their shingles
+    a bounded number at a time. Other columns are not read.
     """
     slim = written(with_fingerprint(docs, [id_col], text_col, width), "fingerprints")
-    nodes = written(slim.groupBy("fp").agg(F.min(id_col).alias("first_id")), "nodes")
+    nodes = written(slim.groupBy("fp").agg(F.min(f"`{id_col}`").alias("first_id"), F.count("*").alias("n")), "nodes")
     stars = components(links(nodes.select("fp")))
     labelled = nodes.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("centre")), "fp", "left").select("fp", "first_id", F.coalesce("centre", "fp").alias("centre"))
     least = labelled.groupBy("centre").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(least, "centre").select("fp", "component_id")
+    named = written(labelled.join(least, "centre").select("fp", "component_id"), "components")
+    # Fingerprints that many rows have, HEAVY of them at most, are sent to the rows; only rows of the others move.
+    many = nodes.where(F.col("n") * HEAVY > (nodes.agg(F.sum("n")).first()[0] or 0)).select("fp")
+    heavy = written(named.join(F.broadcast(many), "fp", "left_semi"), "heavy-fingerprints")
+    rest = slim.join(F.broadcast(heavy.select("fp")), "fp", "left_anti").join(named, "fp")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return slim.join(named, "fp").select(id_col, hexed.alias("fingerprint"), "component_id")
+    return slim.join(F.broadcast(heavy), "fp").unionByName(rest).select(f"`{id_col}`", hexed.alias("fingerprint"), "component_id")

@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import ann_crosspolytope as a
 from sievework.llm import queries
@@ -114,3 +116,16 @@ def test_copies_ties_and_odd_vectors(spark, monkeypatch):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert a.nearest(df, a.F.col("id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1e-300, 1e-200, 1.0, 1e200])
+def test_no_component_overflows(spark, scale):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 6))
+    df = spark.createDataFrame([(i, [float(c) for c in v * scale]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = a.nearest(df, F.col("id") % 10 == 0, k=3).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for r in got:
+        near = np.delete(unit @ unit[r.query_id], r.query_id)
+        assert abs(r.score - unit[r.vec_id] @ unit[r.query_id]) < 1e-12 and abs(np.sort(near)[-r.rank] - r.score) < 1e-12
+    assert len(got) == 12

@@ -72,6 +72,8 @@ def test_text_ids_odd_elements_and_parts(spark):
         ({"id": "p", "messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": "[1, 2]"}]}, [("user", "see\nthis\n[1, 2]"), ("assistant", "[1, 2]")]),
         ({"id": "7.5", "prompt": ["one", "two"], "completion": "c"}, [("user", "one\ntwo"), ("assistant", "c")]),
         ({"messages": [{"role": "user", "content": []}]}, [("user", "")]),
+        ({"id": "s", "messages": [{"role": "user", "content": ['{"text":"x"}', {"text": "y"}, '{"text":{"a":1}}', "[]", 5]}]}, [("user", '{"text":"x"}\ny\n{"text":{"a":1}}\n[]\n5')]),
+        ({"id": "e", "messages": ['{"role":"user","content":"no turn"}', {"role": "user", "content": '{"text":"z"}'}]}, [("user", '{"text":"z"}')]),
     ]
     df = spark.createDataFrame([(json.dumps(r),) for r, _ in records] * 2, "record string")
     made = c.turns_of_json(df)

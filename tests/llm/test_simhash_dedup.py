@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from sievework.llm import queries
@@ -116,6 +117,23 @@ def test_components_of_dense_and_long_groups(spark, monkeypatch, split):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
+def test_a_hot_fingerprint_is_spread_over_tasks(spark):
+    """Nine rows of ten under one fingerprint, without the planner's broadcasts and without adaptive execution."""
+    own = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        docs = spark.createDataFrame([(i, "the same words in all of these" if i % 10 else f"own words {i} of one text {i}") for i in range(4000)], "doc_id long, text string").repartition(8)
+        got = s.near_duplicates(docs)
+        hot = got.where("component_id = 1").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in hot) == 3600 and len(hot) >= 4 and max(r["count"] for r in hot) < 1200
+        least = brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in docs.collect()])
+        assert got.select("component_id").distinct().count() == len(set(least.values()))
+    finally:
+        for c, value in own.items():
+            spark.conf.set(c, value)
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = s.near_duplicates(odd_docs).collect()
     texts = [(r.doc_id, brute_fingerprint(r.text)) for r in odd_docs.select("doc_id", "text").collect()]

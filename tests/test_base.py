@@ -28,3 +28,14 @@ def test_against_sql(spark, sf_dir, name):
 
 def test_names_agree():
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo", "Pacific/Apia"])
+def test_event_days_in_any_zone(spark, sf_dir, zone):
+    own = spark.conf.get("spark.sql.session.timeZone")
+    want = rows_of(base.queries()["stream_event_days"](spark, sf_dir))
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert rows_of(base.queries()["stream_event_days"](spark, sf_dir)) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", own)

@@ -5,10 +5,10 @@ filtering (Chaudhuri et al., 2006), and op6's pigeonring chain only prunes them.
 or more share a shingle of their prefixes, whatever the order. The order here is by hash, with the most frequent shingles (a bounded list of them, counted over all texts) last, so that what many texts say
 is in few prefixes. Only prefix shingles that two texts share are kept, as keys.
 
-Texts that share a key need not all be compared: what is in one component already is settled. Each round compares the texts of a key with one of them, the same for all keys of
-a group of copies, and joins components; pairs therefore grow with the texts, however many alike there are. When few pairs of different components are left, or rounds bring nothing, all
-that are left are compared: those whose sizes allow 0.8 and whose fingerprints stay within the chain of budgets of MAX_BITS. A key with more than PIECE texts is split by their second common shingle for that: prefixes
-longer by one share two.
+Texts that share a key need not all be compared: what is in one component already is settled. The first round compares the texts of every key with the one that shares most with others, the same for all keys of
+a group of copies, and joins components; further rounds do so for keys that are too large for one task. Pairs therefore grow with the texts, however many alike there are. In the end
+all pairs of different components that are left are compared: those whose sizes allow 0.8 and whose fingerprints stay within the chain of budgets of MAX_BITS. Under a crowded key they are put to the exact similarity at once, as bitsets, so that
+near misses aren't handed on; a key with more than PIECE texts is split by their second common shingle, as prefixes longer by one share two.
 
 Each candidate pair is put to the exact similarity over the shingles of its whole texts (64-bit hashes).
 """
@@ -16,6 +16,7 @@ Each candidate pair is put to the exact similarity over the shingles of its whol
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,16 +26,19 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import ship_package, text_of, written
 from sievework.llm.mph import STEP, _mixed
-from sievework.llm.simhash_dedup import SEED, components, fingerprint, within
+from sievework.llm.simhash_dedup import BLOCK, SEED, components, majority, within
 
 #: Words of a shingle; the similarity, as a fraction.
 WIDTH, SHARED, OF = 5, 4, 5
-#: Texts that share a prefix shingle from which it is put last; how many such shingles there are at most.
-FREQUENT, MOST_FREQUENT = 40, 1 << 20
+#: Texts that share a shingle from which it is put last; how many such shingles there are at most; shingles of a task's texts that are counted together, and texts of these that count.
+FREQUENT, MOST_FREQUENT, CHUNK, SEVERAL = 24, 1 << 20, 1 << 21, 3
 #: Bits in which the fingerprints of two texts at 0.8 may differ: 10 are usual, 28 are more than six standard deviations off. It holds from so many shingles on; fewer are always compared.
 MAX_BITS, LEAST_SHINGLES = 28, 64
-#: Pairs left for each text under a key from which texts are first compared with one of them; rounds of that at most; texts under one key from which it is split.
-FEW, ROUNDS, PIECE = 4, 12, 4_096
+#: Pairs left for each text under a key up to which all are compared, instead of one text with the others; rounds of that at most, and the share of pairs that a round may leave if another is to follow;
+#: texts under one key from which it is split.
+FEW, ROUNDS, SLOW, PIECE = 4, 12, 0.7, 4_096
+#: Bytes of the shingles under one key that one task compares.
+GROUP_BYTES = 32 << 20
 #: Bytes that are sent to all tasks instead of moving what they are joined to; words whose hashes a task remembers; rows from which a task hands results on.
 SENT_BYTES, KNOWN, ROWS = 32 << 20, 1 << 18, 50_000
 
@@ -95,12 +99,46 @@ def _tokens(frequent: np.ndarray):
     return tokens
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shingles of the longer prefixes by hashes, with their numbers of texts; and of all shingles (every) those that several of a task's texts in a row have."""
+    known, none = Hashes(), np.zeros(0, dtype=np.uint64)
+
+    def counts(fronts: list[np.ndarray], whole: list[np.ndarray]) -> pd.DataFrame:
+        (front, n), (all_, m) = (np.unique(np.concatenate(x), return_counts=True) for x in (fronts, whole))
+        several = m >= SEVERAL
+        key, n = np.concatenate([front, all_[several]]), np.concatenate([n, m[several]])
+        return pd.DataFrame({"key": key.view(np.int64), "n": n, "every": np.arange(len(key)) >= len(front)})
+
+    fronts, whole, held = [], [], 0
+    for batch in batches:
+        for text in batch["text"]:
+            whole.append(shingles(text, known))
+            fronts.append(prefix(whole[-1], none)[0])
+            held += len(whole[-1])
+            if held >= CHUNK:
+                yield counts(fronts, whole)
+                fronts, whole, held = [], [], 0
+    if whole:
+        yield counts(fronts, whole)
+
+
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = Hashes()
     for batch in batches:
-        found = [shingles(t, known).view(np.int64) for t in batch["text"]]
-        prints = np.array([fingerprint(t, WIDTH) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"no": batch["no"], "size": [len(x) for x in found], "fp": prints, "shingles": found})
+        nos, found, held = [], [], 0
+        for no, text in zip(batch["no"], batch["text"]):
+            nos.append(no)
+            found.append(shingles(text, known))
+            held += len(found[-1])
+            if held >= 8 * ROWS:
+                yield _fact_rows(nos, found)
+                nos, found, held = [], [], 0
+        yield _fact_rows(nos, found)
+
+
+def _fact_rows(nos: list[int], found: list[np.ndarray]) -> pd.DataFrame:
+    prints = np.array([majority((x[a : a + BLOCK] for a in range(0, len(x), BLOCK)), len(x)) for x in found], dtype=np.uint64)
+    return pd.DataFrame({"no": nos, "size": [len(x) for x in found], "fp": prints.view(np.int64), "shingles": [x.view(np.int64) for x in found]})
 
 
 def may_be_alike(sizes: np.ndarray, other_sizes: np.ndarray, differences: np.ndarray) -> np.ndarray:
@@ -118,16 +156,80 @@ def _pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The texts of a key -> all pairs of different components that may be alike."""
     for batch in batches:
+        found, held = [], 0
         for no, label, size, fp in zip(batch["no"], batch["label"], batch["size"], batch["fp"]):
-            order = np.argsort(size, kind="stable")
-            no, label, size, fp = no[order], label[order], size[order], fp[order].view(np.uint64)
-            ends = np.searchsorted(size, size * OF // SHARED, side="right")
-            for i in range(len(no) - 1):
-                js = np.arange(i + 1, ends[i])
-                js = js[label[js] != label[i]]
-                js = js[may_be_alike(size[js], size[i], fp[js] ^ fp[i])]
-                if len(js):
-                    yield pd.DataFrame({"a": np.maximum(no[js], no[i]), "b": np.minimum(no[js], no[i])})
+            for i, j in _in_blocks(len(no)):
+                differ = label[i] != label[j]
+                i, j = i[differ], j[differ]
+                may = may_be_alike(size[i], size[j], (fp[i] ^ fp[j]).view(np.uint64))
+                a, b = no[i[may]], no[j[may]]
+                found.append(np.stack([np.maximum(a, b), np.minimum(a, b)]))
+                held += len(a)
+            if held >= ROWS:
+                yield _pair_rows(found)
+                found, held = [], 0
+        yield _pair_rows(found)
+
+
+def _left_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The texts of a crowded key with their shingles -> the pairs of different components that are alike. Texts that share several such keys are compared under the least."""
+    for batch in batches:
+        found = []
+        for key, no, label, size, fp, keys, held in zip(*(batch[c] for c in ("key", "no", "label", "size", "fp", "keys", "shingles"))):
+            other = [k[k < key] for k in keys]
+            names, which = np.unique(np.concatenate(other), return_inverse=True)
+            earlier = np.zeros((len(no), len(names)), dtype=np.float32)
+            earlier[np.repeat(np.arange(len(no)), [len(k) for k in other]), which] = 1
+            bits = _bitsets(list(held))
+            for i, j in _in_blocks(len(no)):
+                differ = label[i] != label[j]
+                i, j = i[differ], j[differ]
+                may = may_be_alike(size[i], size[j], (fp[i] ^ fp[j]).view(np.uint64))
+                i, j = i[may], j[may]
+                step = max(1, (1 << 22) // max(1, bits.shape[1], earlier.shape[1]))
+                for a in range(0, len(i), step):
+                    x, y = i[a : a + step], j[a : a + step]
+                    first = ~(earlier[x] * earlier[y]).any(axis=1)
+                    x, y = x[first], y[first]
+                    both = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+                    alike = both * OF >= SHARED * (size[x] + size[y] - both)
+                    one, two = no[x[alike]], no[y[alike]]
+                    found.append(np.stack([np.maximum(one, two), np.minimum(one, two)]))
+        yield _pair_rows(found)
+
+
+def _bitsets(held: list[np.ndarray]) -> np.ndarray:
+    """Each text's shingles as a row of bits, for those that two of the texts have."""
+    names, which, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    row = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    shared = n[which] > 1
+    row, at = row[shared], place[which[shared]]
+    bits = np.zeros((len(held), max(1, -(-int((n > 1).sum()) // 64))), dtype=np.uint64)
+    np.bitwise_or.at(bits, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return bits
+
+
+def _pair_rows(found: list[np.ndarray]) -> pd.DataFrame:
+    a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
+    return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+
+@lru_cache(maxsize=256)
+def _of_all(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def _in_blocks(n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of n places, a bounded number of them at a time."""
+    if n <= 64:
+        yield _of_all(n)
+        return
+    step = max(1, (1 << 18) // n)
+    for a in range(0, n, step):
+        i, j = np.divmod(np.arange(min(step, n - a) * n), n)
+        i += a
+        yield i[j > i], j[j > i]
 
 
 def node_of(text_col: str = "text") -> Column:
@@ -160,15 +262,17 @@ def links(texts: DataFrame, frequent_from: int = FREQUENT, most_frequent: int =
     """``texts`` (no, text; each text once, none without words) -> links a > b between their numbers, pairs at 0.8 or more: enough of them to hold every component together."""
     ship_package(texts.sparkSession)
     kind = "key long, no long, near boolean, extra boolean"
-    counted = texts.mapInPandas(_tokens(np.zeros(0, dtype=np.uint64)), kind).groupBy("key").agg(F.count("*").alias("n"))
-    met = written(counted.where("n > 1"), "met-keys")
+    counted = texts.select("text").mapInPandas(_counted, "key long, n long, every boolean").groupBy("key", "every").agg(F.sum("n").alias("n"))
+    counted = written(counted.where("n > 1"), "counted-keys")
+    met = counted.where("not every")
     # Any list gives the right answer; this one leaves little to do. Its length is bounded: the counts of counts tell where it ends.
     least, listed = None, 0
-    for n, keys in sorted(met.where(F.col("n") >= frequent_from).groupBy("n").agg(F.count("*")).collect(), reverse=True):
+    often = written(counted.where(F.col("n") >= frequent_from).groupBy("key").agg(F.max("n").alias("n")), "frequent-keys")
+    for n, keys in sorted(often.groupBy("n").agg(F.count("*")).collect(), reverse=True):
         if listed + keys > most_frequent:
             break
         least, listed = n, listed + keys
-    most = met.where(F.col("n") >= least).select("key").collect() if least else []
+    most = often.where(F.col("n") >= least).select("key").collect() if least else []
     frequent = np.sort(np.array([r.key for r in most], dtype=np.int64).view(np.uint64))
 
     rows = texts.mapInPandas(_tokens(frequent), kind)
@@ -184,48 +288,73 @@ def links(texts: DataFrame, frequent_from: int = FREQUENT, most_frequent: int =
     wanted = written(members.where("not extra").select("no").distinct(), "wanted")
     facts = written(texts.join(_sent_if_small(wanted, 24), "no", "left_semi").mapInPandas(_facts, "no long, size long, fp long, shingles array<long>"), "facts")
 
-    found, labels, before = None, None, None
-    open_ = members.where("not extra").withColumn("label", F.col("no"))
+    found, before = None, 0
+    of_keys = members.where("not extra").select("key", "no")
     for turn in range(rounds + 2):
-        if labels is not None:
-            open_ = members.where("not extra").join(labels.withColumnRenamed("a", "no"), "no", "left").select("key", "no", "extra", F.coalesce("b", "no").alias("label"))
-        by_label = open_.groupBy("key", "label").agg(F.count("*").alias("n"))
-        mixed = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("settled")).where(F.col("n") * F.col("n") > F.col("settled"))
+        open_ = of_keys.withColumn("label", F.col("no"))
+        if found is not None:
+            labels = written(components(found), "labels").withColumnRenamed("a", "no")
+            open_ = of_keys.join(labels, "no", "left").select("key", "no", F.coalesce("b", "no").alias("label"))
+        by_label = open_.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("under"), F.sum(F.col("n") * F.col("n")).alias("settled"))
+        mixed = by_label.withColumn("left", (F.col("under") * F.col("under") - F.col("settled")) / 2).where("left > 0")
         # A key of two texts is done after the first round.
-        mixed = written(mixed.where("n > 2") if turn else mixed, "mixed-keys")
-        sums = mixed.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("settled")) / 2)).first()
-        if sums[0] is None:
+        mixed = written(mixed.where("under > 2") if turn else mixed, "mixed-keys")
+        if mixed.isEmpty():
             break
-        open_ = written(open_.join(_sent_if_small(mixed.select("key", F.col("n").alias("under")), 32), "key"), "open")
-        last = turn > 0 and (sums[1] <= few * sums[0] or sums == before) or turn > rounds
-        before = sums
-        candidates = _all_left(open_, members, facts, piece) if last else _with_one(open_, turn)
-        new = written(_alike(candidates, facts), "links")
+        # The first round is for all keys, others for those that are too large to be compared as they are.
+        large = mixed.where((F.col("under") > piece) & (F.col("left") > few * F.col("under")))
+        left = large.agg(F.coalesce(F.sum("left"), F.lit(0))).first()[0]
+        last = turn > rounds or turn > 0 and (left == 0 or turn > 1 and left > SLOW * before)
+        before = left
+        chosen = large if turn and not last else mixed
+        open_ = written(open_.join(_sent_if_small(chosen.select("key", "under", "left"), 40), "key"), "open")
+        new = written(_alike(_all_left(open_, members, facts, few, piece) if last else _with_one(open_, turn), facts), "links")
         found = new if found is None else found.unionByName(new)
         if last:
             break
-        labels = written(components(found), "labels")
+        of_keys = of_keys.join(_sent_if_small(mixed.select("key"), 24), "key", "left_semi")
     return found if found is not None else rows.select(F.col("no").alias("a"), F.col("no").alias("b")).limit(0)
 
 
 def _with_one(open_: DataFrame, turn: int) -> DataFrame:
-    """The texts of each key, each with the one that comes first in this round's order, where they are of different components."""
-    first = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("no", F.lit(turn)).alias("h"), "no", "label")).alias("first")).select("key", F.col("first.no").alias("one"), F.col("first.label").alias("one_label"))
+    """The texts of each key, each with the one that comes first in this round's order, where they are of different components.
+
+    In the first round it is the text that shares most with others, by the sizes of its keys: of a group of copies the one that they were made from, or what is nearest to it.
+    """
+    h = F.xxhash64("no", F.lit(turn)).alias("h")
+    if not turn:
+        open_ = written(open_.join(open_.groupBy("no").agg((-F.sum("under")).alias("rank")), "no"), "ranked")
+        h = F.struct("rank", h)
+    first = open_.groupBy("key").agg(F.min(F.struct(h.alias("h"), "no", "label")).alias("first")).select("key", F.col("first.no").alias("one"), F.col("first.label").alias("one_label"))
     pairs = open_.join(first, "key").where("label <> one_label")
     return pairs.select(F.greatest("no", "one").alias("a"), F.least("no", "one").alias("b"))
 
 
-def _all_left(open_: DataFrame, members: DataFrame, facts: DataFrame, piece: int) -> DataFrame:
-    """All pairs of different components under a key that may be alike. Crowded keys are split by each second shingle."""
+def _all_left(open_: DataFrame, members: DataFrame, facts: DataFrame, few: int, piece: int) -> DataFrame:
+    """All pairs of different components under a key that may be alike.
+
+    Where few pairs are left they are handed on. Where more are, the shingles come to the key and only pairs that are alike are handed on, if the key is small enough for one task. Larger ones are split by each second shingle.
+    """
+    n = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = open_.join(facts.select("no", "size", "fp"), "no")
-    small = slim.where(F.col("under") <= piece).withColumn("second", F.lit(0).cast("long"))
-    crowded = slim.where(F.col("under") > piece).join(members.select("no", F.col("key").alias("second")), "no")
+    held = slim.where(F.col("left") > few * F.col("under")).groupBy("key").agg((F.sum("size") * 8).alias("bytes"))
+    slim = slim.join(_sent_if_small(written(held, "crowded-keys"), 32), "key", "left")
+    small = slim.where("bytes is null").withColumn("second", F.lit(0).cast("long"))
+    whole = slim.where((F.col("under") <= piece) & (F.col("bytes") <= GROUP_BYTES))
+    split = slim.where((F.col("under") > piece) | (F.col("bytes") > GROUP_BYTES)).join(members.select("no", F.col("key").alias("second")), "no")
     # Only a text of one shingle has no second: it is like others of one.
-    crowded = crowded.where("second <> key or size = 1")
-    n = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Groups are small but comparing them isn't: they are not gathered into few tasks by their bytes.
-    groups = small.unionByName(crowded.select(*small.columns)).repartition(n, "key", "second").groupBy("key", "second").agg(F.collect_list(F.struct("no", "label", "size", "fp")).alias("m"))
-    return groups.where("size(m) > 1").select(*(F.col(f"m.{c}").alias(c) for c in ("no", "label", "size", "fp"))).mapInPandas(_left, "a long, b long")
+    split = split.where("second <> key or size = 1")
+
+    def together(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+        # Groups are small but comparing them isn't: they are not gathered into few tasks by their bytes.
+        groups = rows.repartition(n, *by).groupBy(*by).agg(F.collect_list(F.struct(*columns)).alias("m")).where("size(m) > 1")
+        return groups.select("key", *(F.col(f"m.{c}").alias(c) for c in columns))
+
+    own = ["no", "label", "size", "fp"]
+    handed = together(small.unionByName(split.select(*small.columns)), ["key", "second"], own).mapInPandas(_left, "a long, b long")
+    keys = whole.groupBy("no").agg(F.collect_list("key").alias("keys")).join(facts.select("no", "shingles"), "no")
+    full = together(whole.join(keys, "no"), ["key"], [*own, "keys", "shingles"]).mapInPandas(_left_whole, "a long, b long")
+    return handed.unionByName(full)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

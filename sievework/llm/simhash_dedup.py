@@ -16,7 +16,7 @@ most 2^18 nodes, of 4 bytes each, ever come together, however large a group of n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
 
@@ -51,11 +51,16 @@ def fingerprint(text: str, width: int = 3) -> int:
     else:
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     h = xxhash.xxh64_intdigest
+    blocks = range(0, len(starts), BLOCK)
+    return majority((np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts[a : a + BLOCK].tolist(), ends[a : a + BLOCK].tolist())), dtype="<u8") for a in blocks), len(starts))
+
+
+def majority(blocks: Iterable[np.ndarray], n: int) -> int:
+    """The bits that are set in over half of the ``n`` hashes, which come in blocks."""
     counts = np.zeros(64, dtype=np.int64)
-    for a in range(0, len(starts), BLOCK):
-        hashes = np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts[a : a + BLOCK].tolist(), ends[a : a + BLOCK].tolist())), dtype="<u8")
+    for hashes in blocks:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def with_fingerprint(docs: DataFrame, keep: list[str], text_col: str = "text", width: int = 3) -> DataFrame:

@@ -195,7 +195,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, layout, turns) -> conv_id, layout, formatted, segments.
 
     formatted is the whole conversation; segments are its pieces in order, each with the flag loss, which is true for the texts of
-    assistant turns only. Texts and roles are escaped, so the template's control strings stand only where it put them.
+    assistant turns only. Texts and roles are escaped, so the template's control strings stand only where it put them. A conversation without turns is empty text. Null ids and
+    repeated conversations are rows like others. A conversation is one value, so its length is bounded by what one value may hold (2 GB). An empty table gives an empty result.
     """
 
     def segment(text: Column, loss: Column) -> Column:

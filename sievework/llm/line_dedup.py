@@ -190,7 +190,7 @@ def drop_common_lines(docs: DataFrame, keep: list[str], text_col: str = "text",
     its ends, A-Z in lower case; keys of ``min_chars`` code points or more that ``min_docs`` rows or more have lose all
     their lines. Rows are documents, repeated ones too, so there are no ties. Ids aren't looked at: answers come back to a text by
     its hash, and equal texts have equal answers. Columns in ``keep`` named like one that is made are replaced; others are not
-    read. An empty table gives an empty result.
+    read. An empty table gives an empty result. A text of any length is split whole; a task holds one batch of texts and their lines' hashes.
     """
     made = [c.split()[0] for c in KEPT.split(", ")]
     keep = [c for c in keep if c.lower() not in made]

@@ -92,7 +92,8 @@ def spliced_count(sp, joined: set[str], text: str, chunk: int = CHUNK_BYTES, ove
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES) -> DataFrame:
     """One row for each row of ``docs``: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    Null text counts as empty: no bytes, no tokens. Ids may be null or repeated; they are only carried.
+    Null text counts as empty: no bytes, no tokens. Ids may be null or repeated; they are only carried, so repeated rows all stay and there are no ties. Texts of any length are counted whole, the longer ones in
+    chunks; one that the model's normaliser changes is encoded in one go. An empty table gives an empty result.
     Other columns are not read, so their names can't clash. The model file is read once on the driver (its
     size is fixed) and travels with the task.
     """

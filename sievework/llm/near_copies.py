@@ -34,9 +34,9 @@ WIDTH, SHARED, OF = 5, 4, 5
 FREQUENT, MOST_FREQUENT, CHUNK, SEVERAL = 24, 1 << 20, 1 << 21, 3
 #: Bits in which the fingerprints of two texts at 0.8 may differ: 10 are usual, 28 are more than six standard deviations off. It holds from so many shingles on; fewer are always compared.
 MAX_BITS, LEAST_SHINGLES = 28, 64
-#: Pairs left for each text under a key up to which all are compared, instead of one text with the others; rounds of that at most, and the share of pairs that a round may leave if another is to follow;
+#: Pairs left for each text under a key up to which they are handed on, so of 65 texts or fewer; rounds of comparing one text with the others at most, and the share of pairs that a round may leave if another is to follow;
 #: texts under one key from which it is split.
-FEW, ROUNDS, SLOW, PIECE = 4, 12, 0.7, 4_096
+FEW, ROUNDS, SLOW, PIECE = 32, 12, 0.7, 4_096
 #: Bytes of the shingles under one key that one task compares.
 GROUP_BYTES = 32 << 20
 #: Bytes that are sent to all tasks instead of moving what they are joined to; words whose hashes a task remembers; rows from which a task hands results on.

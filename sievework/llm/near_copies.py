@@ -32,15 +32,20 @@ from sievework.llm.simhash_dedup import BLOCK, SEED, components, majority, withi
 WIDTH, SHARED, OF = 5, 4, 5
 #: Texts that share a shingle from which it is put last; how many such shingles there are at most; shingles of a task's texts that are counted together, and texts of these that count.
 FREQUENT, MOST_FREQUENT, CHUNK, SEVERAL = 24, 1 << 20, 1 << 21, 3
-#: Bits in which the fingerprints of two texts at 0.8 may differ: 10 are usual, 28 are more than six standard deviations off. It holds from so many shingles on; fewer are always compared.
-MAX_BITS, LEAST_SHINGLES = 28, 64
+#: Parts of 64 bits of a fingerprint; bits in which those of two texts at 0.8 may differ, in the first part and in all: 10 and 39 are usual, these are more than six standard deviations off. It holds from so many shingles on;
+#: fewer are always compared.
+PRINTS, MAX_BITS, ALL_BITS, LEAST_SHINGLES = 4, 28, 76, 64
+#: Bits of the filter of keys; the number of keys up to which it is used.
+FILTER_BITS, FILTERED = 1 << 27, 1 << 24
+#: What is told of a text under a key.
+OWN = ["no", "label", "size", *(f"fp{k}" for k in range(PRINTS))]
 #: Pairs left for each text under a key up to which they are handed on, so of 65 texts or fewer; rounds of comparing one text with the others at most, and the share of pairs that a round may leave if another is to follow;
 #: texts under one key from which it is split.
 FEW, ROUNDS, SLOW, PIECE = 32, 12, 0.7, 4_096
 #: Bytes of the shingles under one key that one task compares.
 GROUP_BYTES = 32 << 20
 #: Bytes that are sent to all tasks instead of moving what they are joined to; words whose hashes a task remembers; rows from which a task hands results on.
-SENT_BYTES, KNOWN, ROWS = 32 << 20, 1 << 18, 50_000
+SENT_BYTES, KNOWN, ROWS = 16 << 20, 1 << 16, 50_000
 
 
 class Hashes(dict):
@@ -65,103 +70,125 @@ def shingles(text: str, known: Hashes, width: int = WIDTH) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
-def prefix(ordered: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of a text's shingles and the one after it, frequent ones last; and which of them would be in it if none was frequent."""
+def prefix(ordered: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The prefix of a text's shingles and the one after it, frequent ones last."""
     n = len(ordered)
     size = min(n, n + 1 - -(-SHARED * n // OF) + 1)
     late = frequent[np.minimum(np.searchsorted(frequent, ordered), len(frequent) - 1)] == ordered if len(frequent) else np.zeros(n, dtype=bool)
-    at = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:size]
-    return ordered[at], at < size
+    return ordered[np.concatenate([np.flatnonzero(~late)[:size], np.flatnonzero(late)[:size]])[:size]]
 
 
-def _tokens(frequent: np.ndarray):
-    """no, text -> a row for each shingle of the longer prefix: key, no, near (it is in the prefix by hashes alone), extra (it is the one after the prefix)."""
+def _several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shingles that several of a task's texts in a row have, and how many of them."""
+    known, whole, held = Hashes(), [], 0
+
+    def counts(whole: list[np.ndarray]) -> pd.DataFrame:
+        key, n = np.unique(np.concatenate(whole), return_counts=True)
+        return pd.DataFrame({"key": key[n >= SEVERAL].view(np.int64), "n": n[n >= SEVERAL]})
+
+    for batch in batches:
+        for text in batch["text"]:
+            whole.append(shingles(text, known))
+            held += len(whole[-1])
+            if held >= CHUNK:
+                yield counts(whole)
+                whole, held = [], 0
+    if whole:
+        yield counts(whole)
+
+
+def _tokens(frequent, shared):
+    """no, text -> a row for each shingle of the longer prefix: key, no, extra (it is the one after the prefix). ``shared`` leaves most out that no other text has."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Hashes()
+        known, bits = Hashes(), None if shared is None else shared.value
         for batch in batches:
-            keys, nos, nears, extras, held = [], [], [], [], 0
+            keys, nos, extras, held = [], [], [], 0
             for no, text in zip(batch["no"], batch["text"]):
                 ordered = shingles(text, known)
-                key, near = prefix(ordered, frequent)
+                key = prefix(ordered, frequent.value)
+                # A text of one shingle, or of which all may be needed, has none after its prefix.
+                extra = np.arange(len(key)) >= len(ordered) - -(-SHARED * len(ordered) // OF) + 1
+                if bits is not None:
+                    at = (key & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                    some = bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+                    key, extra = key[some], extra[some]
                 keys.append(key.view(np.int64))
                 nos.append(np.full(len(key), no))
-                nears.append(near)
-                # A text of one shingle, or of which all may be needed, has none after its prefix.
-                extras.append(np.arange(len(key)) >= len(ordered) - -(-SHARED * len(ordered) // OF) + 1)
+                extras.append(extra)
                 held += len(key)
                 if held >= ROWS:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "no": np.concatenate(nos), "near": np.concatenate(nears), "extra": np.concatenate(extras)})
-                    keys, nos, nears, extras, held = [], [], [], [], 0
+                    yield pd.DataFrame({"key": np.concatenate(keys), "no": np.concatenate(nos), "extra": np.concatenate(extras)})
+                    keys, nos, extras, held = [], [], [], 0
             if held:
-                yield pd.DataFrame({"key": np.concatenate(keys), "no": np.concatenate(nos), "near": np.concatenate(nears), "extra": np.concatenate(extras)})
+                yield pd.DataFrame({"key": np.concatenate(keys), "no": np.concatenate(nos), "extra": np.concatenate(extras)})
 
     return tokens
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The shingles of the longer prefixes by hashes, with their numbers of texts; and of all shingles (every) those that several of a task's texts in a row have."""
-    known, none = Hashes(), np.zeros(0, dtype=np.uint64)
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit for each value of the low bits of a key, as bytes: FILTER_BITS of them however many keys there are."""
+    # Bitmaps count from 1.
+    low = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(low).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(low)).alias("bits")).collect()
+    out = np.zeros((FILTER_BITS // 32_768, 4_096), dtype=np.uint8)
+    for part, bits in parts:
+        out[part - 1] = np.frombuffer(bits, dtype=np.uint8)
+    return out.ravel()
 
-    def counts(fronts: list[np.ndarray], whole: list[np.ndarray]) -> pd.DataFrame:
-        (front, n), (all_, m) = (np.unique(np.concatenate(x), return_counts=True) for x in (fronts, whole))
-        several = m >= SEVERAL
-        key, n = np.concatenate([front, all_[several]]), np.concatenate([n, m[several]])
-        return pd.DataFrame({"key": key.view(np.int64), "n": n, "every": np.arange(len(key)) >= len(front)})
 
-    fronts, whole, held = [], [], 0
-    for batch in batches:
-        for text in batch["text"]:
-            whole.append(shingles(text, known))
-            fronts.append(prefix(whole[-1], none)[0])
-            held += len(whole[-1])
-            if held >= CHUNK:
-                yield counts(fronts, whole)
-                fronts, whole, held = [], [], 0
-    if whole:
-        yield counts(fronts, whole)
+def prints_of(held: np.ndarray) -> np.ndarray:
+    """A fingerprint of PRINTS times 64 bits, each part by its own mix of the shingles' hashes."""
+    mixes = (_mixed(held + step) if step else held for step in STEP * np.arange(PRINTS, dtype=np.uint64))
+    return np.array([majority((x[a : a + BLOCK] for a in range(0, len(x), BLOCK)), len(x)) for x in mixes], dtype=np.uint64)
 
 
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = Hashes()
     for batch in batches:
-        nos, found, held = [], [], 0
-        for no, text in zip(batch["no"], batch["text"]):
-            nos.append(no)
-            found.append(shingles(text, known))
-            held += len(found[-1])
-            if held >= 8 * ROWS:
-                yield _fact_rows(nos, found)
-                nos, found, held = [], [], 0
-        yield _fact_rows(nos, found)
+        found = [shingles(t, known) for t in batch["text"]]
+        prints = np.array([prints_of(x) for x in found], dtype=np.uint64).reshape(-1, PRINTS).view(np.int64)
+        yield pd.DataFrame({"no": batch["no"], "size": [len(x) for x in found], **{f"fp{k}": prints[:, k] for k in range(PRINTS)}})
 
 
-def _fact_rows(nos: list[int], found: list[np.ndarray]) -> pd.DataFrame:
-    prints = np.array([majority((x[a : a + BLOCK] for a in range(0, len(x), BLOCK)), len(x)) for x in found], dtype=np.uint64)
-    return pd.DataFrame({"no": nos, "size": [len(x) for x in found], "fp": prints.view(np.int64), "shingles": [x.view(np.int64) for x in found]})
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = Hashes()
+    for batch in batches:
+        for a in range(0, len(batch), 1_000):
+            yield pd.DataFrame({"no": batch["no"].iloc[a : a + 1_000], "shingles": [shingles(t, known).view(np.int64) for t in batch["text"].iloc[a : a + 1_000]]})
 
 
-def may_be_alike(sizes: np.ndarray, other_sizes: np.ndarray, differences: np.ndarray) -> np.ndarray:
-    """Which pairs may be at 0.8, by their numbers of shingles and the differences of their fingerprints."""
-    low, high = np.minimum(sizes, other_sizes), np.maximum(sizes, other_sizes)
-    return (low * OF >= high * SHARED) & ((low < LEAST_SHINGLES) | within(differences, MAX_BITS))
+def may_be_alike(sizes: np.ndarray, other_sizes: np.ndarray, prints: list[np.ndarray], others: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) may be at 0.8, by their numbers of shingles and their fingerprints: op6's chain on the first part, then the bits of all."""
+    a, b = sizes[i], other_sizes[j]
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    may = np.flatnonzero(low * OF >= high * SHARED)
+    few = low[may] < LEAST_SHINGLES
+    near = within((prints[0][i[may]] ^ others[0][j[may]]).view(np.uint64), MAX_BITS)
+    at = may[near & ~few]
+    apart = sum(np.bitwise_count((p[i[at]] ^ o[j[at]]).view(np.uint64)).astype(np.int64) for p, o in zip(prints, others))
+    out = np.zeros(len(a), dtype=bool)
+    out[may[few]] = True
+    out[at[apart <= ALL_BITS]] = True
+    return out
 
 
 def _pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        differences = (batch["fp_a"].to_numpy() ^ batch["fp_b"].to_numpy()).view(np.uint64)
-        yield batch.loc[may_be_alike(batch["size_a"].to_numpy(), batch["size_b"].to_numpy(), differences), ["a", "b"]]
+        one, two = ([batch[f"fp{k}_{c}"].to_numpy() for k in range(PRINTS)] for c in "ab")
+        every = np.arange(len(batch))
+        yield batch.loc[may_be_alike(batch["size_a"].to_numpy(), batch["size_b"].to_numpy(), one, two, every, every), ["a", "b"]]
 
 
 def _left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The texts of a key -> all pairs of different components that may be alike."""
     for batch in batches:
         found, held = [], 0
-        for no, label, size, fp in zip(batch["no"], batch["label"], batch["size"], batch["fp"]):
+        for no, label, size, *prints in zip(*(batch[c] for c in OWN)):
             for i, j in _in_blocks(len(no)):
                 differ = label[i] != label[j]
                 i, j = i[differ], j[differ]
-                may = may_be_alike(size[i], size[j], (fp[i] ^ fp[j]).view(np.uint64))
+                may = may_be_alike(size, size, prints, prints, i, j)
                 a, b = no[i[may]], no[j[may]]
                 found.append(np.stack([np.maximum(a, b), np.minimum(a, b)]))
                 held += len(a)
@@ -175,7 +202,7 @@ def _left_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The texts of a crowded key with their shingles -> the pairs of different components that are alike. Texts that share several such keys are compared under the least."""
     for batch in batches:
         found = []
-        for key, no, label, size, fp, keys, held in zip(*(batch[c] for c in ("key", "no", "label", "size", "fp", "keys", "shingles"))):
+        for key, keys, held, no, label, size, *prints in zip(*(batch[c] for c in ("key", "keys", "shingles", *OWN))):
             other = [k[k < key] for k in keys]
             names, which = np.unique(np.concatenate(other), return_inverse=True)
             earlier = np.zeros((len(no), len(names)), dtype=np.float32)
@@ -184,7 +211,7 @@ def _left_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, j in _in_blocks(len(no)):
                 differ = label[i] != label[j]
                 i, j = i[differ], j[differ]
-                may = may_be_alike(size[i], size[j], (fp[i] ^ fp[j]).view(np.uint64))
+                may = may_be_alike(size, size, prints, prints, i, j)
                 i, j = i[may], j[may]
                 step = max(1, (1 << 22) // max(1, bits.shape[1], earlier.shape[1]))
                 for a in range(0, len(i), step):
@@ -246,47 +273,46 @@ def _sent_if_small(df: DataFrame, bytes_each: int, most: int = SENT_BYTES) -> Da
     return F.broadcast(df) if df.count() * bytes_each <= most else df
 
 
-def _alike(candidates: DataFrame, facts: DataFrame) -> DataFrame:
-    """Of the pairs a > b those at 0.8 or more."""
-    slim = {c: facts.select(F.col("no").alias(c), F.col("size").alias(f"size_{c}"), F.col("fp").alias(f"fp_{c}")) for c in "ab"}
+def _alike(candidates: DataFrame, texts: DataFrame, facts: DataFrame) -> DataFrame:
+    """Of the pairs a > b those at 0.8 or more. Shingles are made of texts that a pair asks for alone."""
+    slim = {c: facts.select(*(F.col(x).alias(c if x == "no" else f"{x}_{c}") for x in facts.columns)) for c in "ab"}
     pairs = candidates.distinct().join(slim["a"], "a").join(slim["b"], "b")
-    pairs = written(pairs.select("a", "b", "size_a", "size_b", "fp_a", "fp_b").mapInPandas(_pruned, "a long, b long"), "candidates")
+    pairs = written(pairs.mapInPandas(_pruned, "a long, b long"), "candidates")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct(), "asked")
-    held = facts.join(_sent_if_small(asked, 24), "no", "left_semi")
+    held = written(_shingled(texts, asked), "asked-shingles")
     whole = {c: held.select(F.col("no").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab"}
     both = whole["b"].join(_sent_if_small(pairs, 32), "b").join(whole["a"], "a").select("a", "b", F.size("shingles_a").alias("n_a"), F.size("shingles_b").alias("n_b"), F.size(F.array_intersect("shingles_a", "shingles_b")).alias("both"))
     return both.where(F.col("both") * OF >= SHARED * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def links(texts: DataFrame, frequent_from: int = FREQUENT, most_frequent: int = MOST_FREQUENT, few: int = FEW, rounds: int = ROUNDS, piece: int = PIECE) -> DataFrame:
+def _shingled(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    return texts.join(_sent_if_small(wanted, 24), "no", "left_semi").mapInPandas(_whole, "no long, shingles array<long>")
+
+
+def links(texts: DataFrame, frequent_from: int = FREQUENT, most_frequent: int = MOST_FREQUENT, few: int = FEW, rounds: int = ROUNDS, piece: int = PIECE, filtered: int = FILTERED) -> DataFrame:
     """``texts`` (no, text; each text once, none without words) -> links a > b between their numbers, pairs at 0.8 or more: enough of them to hold every component together."""
     ship_package(texts.sparkSession)
-    kind = "key long, no long, near boolean, extra boolean"
-    counted = texts.select("text").mapInPandas(_counted, "key long, n long, every boolean").groupBy("key", "every").agg(F.sum("n").alias("n"))
-    counted = written(counted.where("n > 1"), "counted-keys")
-    met = counted.where("not every")
+    context = texts.sparkSession.sparkContext
     # Any list gives the right answer; this one leaves little to do. Its length is bounded: the counts of counts tell where it ends.
+    often = texts.select("text").mapInPandas(_several, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    often = written(often.where(F.col("n") >= frequent_from), "frequent-keys")
     least, listed = None, 0
-    often = written(counted.where(F.col("n") >= frequent_from).groupBy("key").agg(F.max("n").alias("n")), "frequent-keys")
     for n, keys in sorted(often.groupBy("n").agg(F.count("*")).collect(), reverse=True):
         if listed + keys > most_frequent:
             break
         least, listed = n, listed + keys
     most = often.where(F.col("n") >= least).select("key").collect() if least else []
-    frequent = np.sort(np.array([r.key for r in most], dtype=np.int64).view(np.uint64))
-
-    rows = texts.mapInPandas(_tokens(frequent), kind)
-    known = met.select("key")
-    if len(frequent):
-        # Of shingles further back than the prefix by hashes nothing is known yet; what they share with one in front is a key too.
-        rows = written(rows, "prefixes")
-        known = written(known.union(rows.where("not near").select("key")).distinct(), "known-keys")
-    rows = rows.join(_sent_if_small(known, 24), "key", "left_semi").select("key", "no", "extra")
-    rows = written(rows, "shared-prefixes")
-    shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    members = written(rows.join(_sent_if_small(shared, 24), "key", "left_semi"), "members")
+    frequent = context.broadcast(np.sort(np.array([r.key for r in most], dtype=np.int64).view(np.uint64)))
+
+    kind = "key long, no long, extra boolean"
+    counted = texts.mapInPandas(_tokens(frequent, None), kind).groupBy("key").agg(F.count("*").alias("n"))
+    shared = written(counted.where("n > 1").select("key"), "keys")
+    # The filter leaves out most of what the join would; it can't take the join's place.
+    bits = context.broadcast(key_filter(shared)) if shared.count() <= filtered else None
+    members = written(texts.mapInPandas(_tokens(frequent, bits), kind).join(shared, "key", "left_semi"), "members")
     wanted = written(members.where("not extra").select("no").distinct(), "wanted")
-    facts = written(texts.join(_sent_if_small(wanted, 24), "no", "left_semi").mapInPandas(_facts, "no long, size long, fp long, shingles array<long>"), "facts")
+    facts = texts.join(_sent_if_small(wanted, 24), "no", "left_semi").mapInPandas(_facts, "no long, size long, " + ", ".join(f"fp{k} long" for k in range(PRINTS)))
+    facts = written(facts, "facts")
 
     found, before = None, 0
     of_keys = members.where("not extra").select("key", "no")
@@ -308,12 +334,12 @@ def links(texts: DataFrame, frequent_from: int = FREQUENT, most_frequent: int =
         before = left
         chosen = large if turn and not last else mixed
         open_ = written(open_.join(_sent_if_small(chosen.select("key", "under", "left"), 40), "key"), "open")
-        new = written(_alike(_all_left(open_, members, facts, few, piece) if last else _with_one(open_, turn), facts), "links")
+        new = written(_alike(_all_left(open_, members, texts, facts, few, piece) if last else _with_one(open_, turn), texts, facts), "links")
         found = new if found is None else found.unionByName(new)
         if last:
             break
         of_keys = of_keys.join(_sent_if_small(mixed.select("key"), 24), "key", "left_semi")
-    return found if found is not None else rows.select(F.col("no").alias("a"), F.col("no").alias("b")).limit(0)
+    return found if found is not None else members.select(F.col("no").alias("a"), F.col("no").alias("b")).limit(0)
 
 
 def _with_one(open_: DataFrame, turn: int) -> DataFrame:
@@ -330,13 +356,13 @@ def _with_one(open_: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.greatest("no", "one").alias("a"), F.least("no", "one").alias("b"))
 
 
-def _all_left(open_: DataFrame, members: DataFrame, facts: DataFrame, few: int, piece: int) -> DataFrame:
+def _all_left(open_: DataFrame, members: DataFrame, texts: DataFrame, facts: DataFrame, few: int, piece: int) -> DataFrame:
     """All pairs of different components under a key that may be alike.
 
     Where few pairs are left they are handed on. Where more are, the shingles come to the key and only pairs that are alike are handed on, if the key is small enough for one task. Larger ones are split by each second shingle.
     """
     n = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = open_.join(facts.select("no", "size", "fp"), "no")
+    slim = open_.join(facts, "no")
     held = slim.where(F.col("left") > few * F.col("under")).groupBy("key").agg((F.sum("size") * 8).alias("bytes"))
     slim = slim.join(_sent_if_small(written(held, "crowded-keys"), 32), "key", "left")
     small = slim.where("bytes is null").withColumn("second", F.lit(0).cast("long"))
@@ -350,10 +376,10 @@ def _all_left(open_: DataFrame, members: DataFrame, facts: DataFrame, few: int,
         groups = rows.repartition(n, *by).groupBy(*by).agg(F.collect_list(F.struct(*columns)).alias("m")).where("size(m) > 1")
         return groups.select("key", *(F.col(f"m.{c}").alias(c) for c in columns))
 
-    own = ["no", "label", "size", "fp"]
-    handed = together(small.unionByName(split.select(*small.columns)), ["key", "second"], own).mapInPandas(_left, "a long, b long")
-    keys = whole.groupBy("no").agg(F.collect_list("key").alias("keys")).join(facts.select("no", "shingles"), "no")
-    full = together(whole.join(keys, "no"), ["key"], [*own, "keys", "shingles"]).mapInPandas(_left_whole, "a long, b long")
+    handed = together(small.unionByName(split.select(*small.columns)), ["key", "second"], OWN).mapInPandas(_left, "a long, b long")
+    keys = written(whole.groupBy("no").agg(F.collect_list("key").alias("keys")), "crowded-texts")
+    held = keys.join(written(_shingled(texts, keys.select("no")), "crowded-shingles"), "no")
+    full = together(whole.join(held, "no"), ["key"], [*OWN, "keys", "shingles"]).mapInPandas(_left_whole, "a long, b long")
     return handed.unionByName(full)
 
 

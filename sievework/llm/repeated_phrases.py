@@ -36,8 +36,10 @@ WINDOW, ANCHOR = 20, 8
 SHARD, CROWDED = 20_000, 2_000
 #: Bytes that are sent to all tasks instead of moving what they are joined to.
 SENT_BYTES = 32 << 20
-#: Words whose hashes a task remembers; windows whose anchors are found at once; rows from which a task hands stretches on.
-KNOWN, BLOCK, ROWS = 1 << 16, 1 << 20, 20_000
+#: Words whose hashes a task remembers; windows whose anchors are found at once.
+KNOWN, BLOCK = 1 << 16, 1 << 20
+#: Stretches that a task cuts at once; rows and bytes from which it hands them on. Where every anchor recurs they take over three times the bytes of the texts.
+CUT, ROWS, BYTES = 256, 20_000, 8 << 20
 SEED = 11
 
 
@@ -111,6 +113,7 @@ def _stretch(window: int):
         known = _Hashes()
         for batch in batches:
             found: dict[str, list] = {c: [] for c in ("anchor", "phrase", "words", "no", "at")}
+            held = 0
             for no, text, firsts, lasts in zip(batch["no"], batch["text"], batch["anchor_from"], batch["anchor_to"]):
                 words = words_of(text)
                 g = grams(words, known)
@@ -119,13 +122,17 @@ def _stretch(window: int):
                 starts = np.flatnonzero(np.diff(at, prepend=-1))
                 ends = np.append(starts[1:], len(at)) + window - 1
                 numbers = np.concatenate([np.arange(a, b + 1) for a, b in zip(firsts, lasts)])
-                joined = [b" ".join(words[a:b]) for a, b in zip(starts[numbers].tolist(), ends[numbers].tolist())]
-                for c, values in (("anchor", g[at[starts[numbers]]].view(np.int64)), ("phrase", map(xxhash.xxh128_digest, joined)), ("words", joined), ("no", [no] * len(joined)), ("at", starts[numbers])):
-                    found[c].extend(values)
-                if len(joined) and len(found["no"]) >= ROWS:
-                    yield pd.DataFrame(found)
-                    found = {c: [] for c in found}
-            yield pd.DataFrame(found)
+                for i in range(0, len(numbers), CUT):
+                    some = numbers[i : i + CUT]
+                    joined = [b" ".join(words[a:b]) for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+                    for c, values in (("anchor", g[at[starts[some]]].view(np.int64)), ("phrase", map(xxhash.xxh128_digest, joined)), ("words", joined), ("no", [no] * len(joined)), ("at", starts[some])):
+                        found[c].extend(values)
+                    held += sum(map(len, joined))
+                    if len(found["no"]) >= ROWS or held >= BYTES:
+                        yield pd.DataFrame(found)
+                        found, held = {c: [] for c in found}, 0
+            if found["no"]:
+                yield pd.DataFrame(found)
 
     return stretch
 

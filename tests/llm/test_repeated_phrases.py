@@ -3,6 +3,7 @@ import re
 from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sievework.llm import repeated_phrases as p
@@ -89,5 +90,24 @@ def test_anchors():
     assert len(at) == len(many) - 12 and all(at[i] == i + np.argmin(many[i : i + 13]) for i in range(p.BLOCK - 30, p.BLOCK + 30))
 
 
+def test_stretches_of_long_words_come_in_small_frames():
+    """A task hands stretches on by bytes as well as by rows, within one text too: as in languages without blanks, whose words are long."""
+    rng = random.Random(8)
+    pool = [f"{i:0500}" for i in range(500)]
+    texts = [" ".join(rng.choice(pool) for _ in range(n)) for n in (20_000, 30, 3_000)]
+    anchors = [np.unique(p.anchors_at(p.grams(p.words_of(t), p._Hashes()), 13)) for t in texts]
+    batch = pd.DataFrame({"no": range(3), "text": texts, "anchor_from": [np.array([0])] * 3, "anchor_to": [np.array([len(a) - 1]) for a in anchors]})
+    frames = list(p._stretch(20)(iter([batch])))
+    assert max(f["words"].map(len).sum() for f in frames) < p.BYTES + p.CUT * 32 * 501
+    found = pd.concat(frames)
+    assert found["no"].value_counts().to_dict() == {n: len(a) for n, a in enumerate(anchors)}
+    for no, text in enumerate(texts):
+        words, own = p.words_of(text), found[found["no"] == no]
+        assert own["at"].iloc[0] == 0 and own["at"].is_monotonic_increasing and own["words"].iloc[-1].split()[-1] == words[-1]
+        assert all(said.split() == words[at : at + said.count(b" ") + 1] for at, said in zip(own["at"], own["words"]))
+        # Windows of neighbouring stretches follow each other without a gap.
+        assert (own["at"].iloc[:-1] + own["words"].iloc[:-1].map(lambda w: w.count(b" ") + 1 - 19)).tolist() == own["at"].iloc[1:].tolist()
+
+
 def test_query_equals_sql(same_as_sql):
     assert any(r[3] for r in same_as_sql("op11_substring_dedup"))

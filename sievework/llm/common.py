@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievework.sources import shared_path, table
 
-__all__ = ["fresh", "remove", "scratch", "shared_path", "ship_package", "table", "text_of", "written"]
+__all__ = ["fresh", "place", "remove", "scratch", "shared_path", "ship_package", "table", "text_of", "written"]
 
 _shipped: set[str] = set()
 
@@ -54,14 +54,26 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         remove(spark, folder)
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """Where written() puts a table with this label: in the folder that is filled at present, or the shared one."""
+    path = shared_path(spark, label)
+    return f"{folder}/{path.rpartition('/')[2]}" if (folder := _scratch.get()) else path
+
+
+#: Spark's setting by which a query's shuffle files are deleted when it ends, not when the driver next collects its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends here, and a lost executor costs nothing."""
-    if path is None:
-        path = shared_path(df.sparkSession, label)
-        if folder := _scratch.get():
-            path = f"{folder}/{path.rpartition('/')[2]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written once to the shared folder and read back: lineage ends here, a lost executor costs nothing, and nothing else of it is left on disk."""
+    spark, path = df.sparkSession, path or place(df.sparkSession, label)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -7,7 +7,8 @@ is in few prefixes. Only prefix shingles that two texts share are kept, as keys.
 
 Texts that share a key need not all be compared: what is in one component already is settled. The first round compares the texts of every key with the one that shares most with others, the same for all keys of
 a group of copies, and joins components; further rounds do so for keys that are too large for one task. Pairs therefore grow with the texts, however many alike there are. In the end
-all pairs of different components that are left are compared: those whose sizes allow 0.8 and whose fingerprints stay within the chain of budgets of MAX_BITS. Under a crowded key they are put to the exact similarity at once, as bitsets, so that
+all pairs of different components that are left are compared: those whose sizes allow 0.8 and whose fingerprints stay within the chain of budgets of MAX_BITS. Texts of few shingles have no fingerprint to go by; they are told apart by the parities of
+their shingles in 256 places, of which no more differ than there are shingles that only one of the two has, so no pair at 0.8 is pruned by them. Under a key that leaves many pairs after that, they are put to the exact similarity at once, as bitsets, so that
 near misses aren't handed on; a key with more than PIECE texts is split by their second common shingle, as prefixes longer by one share two.
 
 Each candidate pair is put to the exact similarity over the shingles of its whole texts (64-bit hashes).
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import ship_package, text_of, written
+from sievework.llm.common import place, scratch, ship_package, text_of, written
 from sievework.llm.mph import STEP, _mixed
 from sievework.llm.simhash_dedup import BLOCK, SEED, components, majority, within
 
@@ -33,13 +34,14 @@ WIDTH, SHARED, OF = 5, 4, 5
 #: Texts that share a shingle from which it is put last; how many such shingles there are at most; shingles of a task's texts that are counted together, and texts of these that count.
 FREQUENT, MOST_FREQUENT, CHUNK, SEVERAL = 24, 1 << 20, 1 << 21, 3
 #: Parts of 64 bits of a fingerprint; bits in which those of two texts at 0.8 may differ, in the first part and in all: 10 and 39 are usual, these are more than six standard deviations off. It holds from so many shingles on;
-#: fewer are always compared.
+#: fewer are compared by parities, which texts of less than MANY_SHINGLES have: a larger one is at 0.8 with none of so few.
 PRINTS, MAX_BITS, ALL_BITS, LEAST_SHINGLES = 4, 28, 76, 64
+MANY_SHINGLES = LEAST_SHINGLES * OF // SHARED
 #: Bits of the filter of keys; the number of keys up to which it is used.
 FILTER_BITS, FILTERED = 1 << 27, 1 << 24
 #: What is told of a text under a key.
-OWN = ["no", "label", "size", *(f"fp{k}" for k in range(PRINTS))]
-#: Pairs left for each text under a key up to which they are handed on, so of 65 texts or fewer; rounds of comparing one text with the others at most, and the share of pairs that a round may leave if another is to follow;
+OWN = ["no", "label", "size", *(f"fp{k}" for k in range(PRINTS)), *(f"odd{k}" for k in range(PRINTS))]
+#: Pairs that may be alike for each text under a key up to which they are handed on; rounds of comparing one text with the others at most, and the share of pairs that a round may leave if another is to follow;
 #: texts under one key from which it is split.
 FEW, ROUNDS, SLOW, PIECE = 32, 12, 0.7, 4_096
 #: Bytes of the shingles under one key that one task compares.
@@ -143,12 +145,20 @@ def prints_of(held: np.ndarray) -> np.ndarray:
     return np.array([majority((x[a : a + BLOCK] for a in range(0, len(x), BLOCK)), len(x)) for x in mixes], dtype=np.uint64)
 
 
+def parities_of(held: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the shingles fall on each of PRINTS times 64 places; nothing for MANY_SHINGLES or more."""
+    out = np.zeros(PRINTS, dtype=np.uint64)
+    if len(held) < MANY_SHINGLES:
+        np.bitwise_xor.at(out, (held >> np.uint64(6)).astype(np.int64) % PRINTS, np.uint64(1) << (held & np.uint64(63)))
+    return out
+
+
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = Hashes()
     for batch in batches:
         found = [shingles(t, known) for t in batch["text"]]
-        prints = np.array([prints_of(x) for x in found], dtype=np.uint64).reshape(-1, PRINTS).view(np.int64)
-        yield pd.DataFrame({"no": batch["no"], "size": [len(x) for x in found], **{f"fp{k}": prints[:, k] for k in range(PRINTS)}})
+        told = {name: np.array([f(x) for x in found], dtype=np.uint64).reshape(-1, PRINTS).view(np.int64) for name, f in (("fp", prints_of), ("odd", parities_of))}
+        yield pd.DataFrame({"no": batch["no"], "size": [len(x) for x in found], **{f"{name}{k}": x[:, k] for name, x in told.items() for k in range(PRINTS)}})
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +169,8 @@ def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def may_be_alike(sizes: np.ndarray, other_sizes: np.ndarray, prints: list[np.ndarray], others: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs (i, j) may be at 0.8, by their numbers of shingles and their fingerprints: op6's chain on the first part, then the bits of all."""
+    """Which pairs (i, j) may be at 0.8, by their numbers of shingles and their fingerprints: op6's chain on the first part, then the bits of all. Those of few shingles by the parities that follow the fingerprints, if they are given."""
+    odd, other_odd, prints, others = prints[PRINTS:], others[PRINTS:], prints[:PRINTS], others[:PRINTS]
     a, b = sizes[i], other_sizes[j]
     low, high = np.minimum(a, b), np.maximum(a, b)
     may = np.flatnonzero(low * OF >= high * SHARED)
@@ -168,34 +179,53 @@ def may_be_alike(sizes: np.ndarray, other_sizes: np.ndarray, prints: list[np.nda
     at = may[near & ~few]
     apart = sum(np.bitwise_count((p[i[at]] ^ o[j[at]]).view(np.uint64)).astype(np.int64) for p, o in zip(prints, others))
     out = np.zeros(len(a), dtype=bool)
-    out[may[few]] = True
+    some = may[few]
+    differ = sum((np.bitwise_count((p[i[some]] ^ o[j[some]]).view(np.uint64)).astype(np.int64) for p, o in zip(odd, other_odd)), np.zeros(len(some), dtype=np.int64))
+    # What only one of two texts at 0.8 has is a ninth of what both have, counted twice.
+    out[some[differ * (OF + SHARED) <= (a[some] + b[some]) * (OF - SHARED)]] = True
     out[at[apart <= ALL_BITS]] = True
     return out
 
 
 def _pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        one, two = ([batch[f"fp{k}_{c}"].to_numpy() for k in range(PRINTS)] for c in "ab")
+        one, two = ([batch[f"{name}{k}_{c}"].to_numpy() for name in ("fp", "odd") for k in range(PRINTS)] for c in "ab")
         every = np.arange(len(batch))
         yield batch.loc[may_be_alike(batch["size_a"].to_numpy(), batch["size_b"].to_numpy(), one, two, every, every), ["a", "b"]]
 
 
-def _left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The texts of a key -> all pairs of different components that may be alike."""
-    for batch in batches:
-        found, held = [], 0
-        for no, label, size, *prints in zip(*(batch[c] for c in OWN)):
-            for i, j in _in_blocks(len(no)):
-                differ = label[i] != label[j]
-                i, j = i[differ], j[differ]
-                may = may_be_alike(size, size, prints, prints, i, j)
-                a, b = no[i[may]], no[j[may]]
-                found.append(np.stack([np.maximum(a, b), np.minimum(a, b)]))
-                held += len(a)
-            if held >= ROWS:
-                yield _pair_rows(found)
-                found, held = [], 0
-        yield _pair_rows(found)
+def _left(few: int, piece: int, group_bytes: int):
+    """The texts of a key -> all pairs of different components that may be alike; of a key that leaves many of them, but is small enough for one task, its name alone."""
+
+    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found, held, crowded = [], 0, []
+            for key, under, no, label, size, *prints in zip(*(batch[c] for c in ("key", "under", *OWN))):
+                most = few * len(no) if under <= piece and 8 * size.sum() <= group_bytes else np.inf
+                own, n = [], 0
+                for i, j in _in_blocks(len(no)):
+                    differ = label[i] != label[j]
+                    i, j = i[differ], j[differ]
+                    may = may_be_alike(size, size, prints, prints, i, j)
+                    a, b = no[i[may]], no[j[may]]
+                    own.append(np.stack([np.maximum(a, b), np.minimum(a, b)]))
+                    n += len(a)
+                    if n > most:
+                        break
+                    if n >= ROWS and most == np.inf:
+                        yield _pair_rows(own).assign(key=0)
+                        own, n = [], 0
+                if n > most:
+                    crowded.append(key)
+                else:
+                    found, held = found + own, held + n
+                if held >= ROWS:
+                    yield _pair_rows(found).assign(key=0)
+                    found, held = [], 0
+            yield _pair_rows(found).assign(key=0)
+            yield pd.DataFrame({"a": -1, "b": -1, "key": crowded})
+
+    return left
 
 
 def _left_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,30 +341,33 @@ def links(texts: DataFrame, frequent_from: int = FREQUENT, most_frequent: int =
     bits = context.broadcast(key_filter(shared)) if shared.count() <= filtered else None
     members = written(texts.mapInPandas(_tokens(frequent, bits), kind).join(shared, "key", "left_semi"), "members")
     wanted = written(members.where("not extra").select("no").distinct(), "wanted")
-    facts = texts.join(_sent_if_small(wanted, 24), "no", "left_semi").mapInPandas(_facts, "no long, size long, " + ", ".join(f"fp{k} long" for k in range(PRINTS)))
+    facts = texts.join(_sent_if_small(wanted, 24), "no", "left_semi").mapInPandas(_facts, "no long, size long, " + ", ".join(f"{c} long" for c in OWN[3:]))
     facts = written(facts, "facts")
 
     found, before = None, 0
     of_keys = members.where("not extra").select("key", "no")
     for turn in range(rounds + 2):
-        open_ = of_keys.withColumn("label", F.col("no"))
-        if found is not None:
-            labels = written(components(found), "labels").withColumnRenamed("a", "no")
-            open_ = of_keys.join(labels, "no", "left").select("key", "no", F.coalesce("b", "no").alias("label"))
-        by_label = open_.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("under"), F.sum(F.col("n") * F.col("n")).alias("settled"))
-        mixed = by_label.withColumn("left", (F.col("under") * F.col("under") - F.col("settled")) / 2).where("left > 0")
-        # A key of two texts is done after the first round.
-        mixed = written(mixed.where("under > 2") if turn else mixed, "mixed-keys")
-        if mixed.isEmpty():
-            break
-        # The first round is for all keys, others for those that are too large to be compared as they are.
-        large = mixed.where((F.col("under") > piece) & (F.col("left") > few * F.col("under")))
-        left = large.agg(F.coalesce(F.sum("left"), F.lit(0))).first()[0]
-        last = turn > rounds or turn > 0 and (left == 0 or turn > 1 and left > SLOW * before)
-        before = left
-        chosen = large if turn and not last else mixed
-        open_ = written(open_.join(_sent_if_small(chosen.select("key", "under", "left"), 40), "key"), "open")
-        new = written(_alike(_all_left(open_, members, texts, facts, few, piece) if last else _with_one(open_, turn), texts, facts), "links")
+        at_keys, at_links = place(texts.sparkSession, "mixed-keys"), place(texts.sparkSession, "links")
+        # What else a round writes goes with it.
+        with scratch(texts.sparkSession):
+            open_ = of_keys.withColumn("label", F.col("no"))
+            if found is not None:
+                labels = written(components(found), "labels").withColumnRenamed("a", "no")
+                open_ = of_keys.join(labels, "no", "left").select("key", "no", F.coalesce("b", "no").alias("label"))
+            by_label = open_.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("under"), F.sum(F.col("n") * F.col("n")).alias("settled"))
+            mixed = by_label.withColumn("left", (F.col("under") * F.col("under") - F.col("settled")) / 2).where("left > 0")
+            # A key of two texts is done after the first round.
+            mixed = written(mixed.where("under > 2") if turn else mixed, "mixed-keys", at_keys)
+            if mixed.isEmpty():
+                break
+            # The first round is for all keys, others for those that are too large to be compared as they are.
+            large = mixed.where((F.col("under") > piece) & (F.col("left") > few * F.col("under")))
+            left = large.agg(F.coalesce(F.sum("left"), F.lit(0))).first()[0]
+            last = turn > rounds or turn > 0 and (left == 0 or turn > 1 and left > SLOW * before)
+            before = left
+            chosen = large if turn and not last else mixed
+            open_ = written(open_.join(_sent_if_small(chosen.select("key", "under", "left"), 40), "key"), "open")
+            new = written(_alike(_all_left(open_, members, texts, facts, few, piece) if last else _with_one(open_, turn), texts, facts), "links", at_links)
         found = new if found is None else found.unionByName(new)
         if last:
             break
@@ -359,24 +392,27 @@ def _with_one(open_: DataFrame, turn: int) -> DataFrame:
 def _all_left(open_: DataFrame, members: DataFrame, texts: DataFrame, facts: DataFrame, few: int, piece: int) -> DataFrame:
     """All pairs of different components under a key that may be alike.
 
-    Where few pairs are left they are handed on. Where more are, the shingles come to the key and only pairs that are alike are handed on, if the key is small enough for one task. Larger ones are split by each second shingle.
+    Where few such pairs are left they are handed on. Where more are, the shingles come to the key and only pairs that are alike are handed on, if the key is small enough for one task. Keys of more than ``piece`` texts are split by each second shingle.
     """
     n = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = open_.join(facts, "no")
-    held = slim.where(F.col("left") > few * F.col("under")).groupBy("key").agg((F.sum("size") * 8).alias("bytes"))
-    slim = slim.join(_sent_if_small(written(held, "crowded-keys"), 32), "key", "left")
-    small = slim.where("bytes is null").withColumn("second", F.lit(0).cast("long"))
-    whole = slim.where((F.col("under") <= piece) & (F.col("bytes") <= GROUP_BYTES))
-    split = slim.where((F.col("under") > piece) | (F.col("bytes") > GROUP_BYTES)).join(members.select("no", F.col("key").alias("second")), "no")
+    one = slim.where(F.col("under") <= piece).withColumn("second", F.lit(0).cast("long"))
+    split = slim.where(F.col("under") > piece).join(members.select("no", F.col("key").alias("second")), "no")
     # Only a text of one shingle has no second: it is like others of one.
     split = split.where("second <> key or size = 1")
 
     def together(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
         # Groups are small but comparing them isn't: they are not gathered into few tasks by their bytes.
         groups = rows.repartition(n, *by).groupBy(*by).agg(F.collect_list(F.struct(*columns)).alias("m")).where("size(m) > 1")
-        return groups.select("key", *(F.col(f"m.{c}").alias(c) for c in columns))
-
-    handed = together(small.unionByName(split.select(*small.columns)), ["key", "second"], OWN).mapInPandas(_left, "a long, b long")
+        return groups.select(*by, *(F.col(f"m.{c}").alias(c) for c in columns))
+
+    both = together(one.unionByName(split.select(*one.columns)), ["key", "second", "under"], OWN)
+    left = written(both.mapInPandas(_left(few, piece, GROUP_BYTES), "a long, b long, key long"), "left")
+    handed = left.where("a >= 0").select("a", "b")
+    crowded = written(left.where("a < 0").select("key"), "crowded-keys")
+    if crowded.isEmpty():
+        return handed
+    whole = one.join(_sent_if_small(crowded, 24), "key", "left_semi")
     keys = written(whole.groupBy("no").agg(F.collect_list("key").alias("keys")), "crowded-texts")
     held = keys.join(written(_shingled(texts, keys.select("no")), "crowded-shingles"), "no")
     full = together(whole.join(held, "no"), ["key"], [*OWN, "keys", "shingles"]).mapInPandas(_left_whole, "a long, b long")

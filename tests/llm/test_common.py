@@ -1,5 +1,6 @@
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import __spark_entry__
@@ -31,3 +32,19 @@ def test_all_are_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_written_leaves_no_shuffle_files(spark, tmp_path):
+    """They go with the query that made them, not when the driver's garbage is next collected; the session's own setting stays."""
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in dirs for f in Path(d).glob("*/shuffle_*.data")}
+    before, was = files(), spark.conf.get(common.TIDY, None)
+    df = spark.range(100_000).selectExpr("id % 50000 as k").groupBy("k").count()
+    common.written(df, "tidy")
+    for _ in range(30):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(common.TIDY, None) == was
+    df.write.parquet(f"{tmp_path}/plain")
+    assert files() - before

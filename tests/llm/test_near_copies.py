@@ -6,6 +6,7 @@ import pytest
 
 from sievework.llm import near_copies as n
 from sievework.llm import stages
+from sievework.llm.common import place, scratch
 from sievework.llm.simhash_dedup import within
 
 
@@ -169,6 +170,41 @@ def test_pruning_is_by_sizes_and_bits():
     assert n.may_be_alike(hundred // 10, hundred // 8, four, none, every, every).all() and not n.may_be_alike(hundred, hundred * 2, none, none, every, every).any()
 
 
+def test_parities_prune_texts_of_few_shingles_and_lose_none():
+    """Of two texts no more parities differ than shingles that only one has; pairs far from 0.8, as under a common line, are pruned without their shingles."""
+    rng = np.random.default_rng(8)
+    pick = lambda k: rng.integers(0, 1 << 64, k, dtype=np.uint64)
+    near, far = [], []
+    for _ in range(500):
+        size, line = int(rng.integers(1, 64)), pick(20)
+        only = int(rng.integers(0, size // 4 + 1))
+        same, split = pick(size), int(rng.integers(0, only + 1))
+        near.append((np.concatenate([same, pick(split)]), np.concatenate([same, pick(only - split)])))
+        far.append((np.concatenate([line, pick(20)]), np.concatenate([line, pick(20)])))
+
+    def told(pairs):
+        facts = [np.array([np.concatenate([n.prints_of(p[k]), n.parities_of(p[k])]) for p in pairs]).view(np.int64).T for k in (0, 1)]
+        sizes, every = [np.array([len(p[k]) for p in pairs]) for k in (0, 1)], np.arange(len(pairs))
+        return n.may_be_alike(*sizes, *(list(f) for f in facts), every, every)
+
+    assert told(near).all() and told(far).mean() < 0.01
+    large = pick(n.MANY_SHINGLES)
+    assert not n.parities_of(large).any() and n.parities_of(large[1:]).any()
+
+
+def test_rounds_leave_only_links_and_keys_on_disk(spark):
+    """Tables of shingles, which are the large ones, go with the round that made them; so do the rest of its own tables."""
+    import os
+
+    texts = crowd()
+    with scratch(spark):
+        folder = place(spark, "x").removeprefix("file:").rpartition("/")[0]
+        docs = spark.createDataFrame(list(enumerate(texts)), "no long, text string").where("no > 0").dropDuplicates(["text"])
+        n.links(docs, few=0).count()
+        left = {f.rpartition("-")[0] for f in os.listdir(folder)}
+    assert left == {"frequent-keys", "keys", "members", "wanted", "facts", "mixed-keys", "links"} and not os.path.exists(folder)
+
+
 def test_fingerprints_at_the_threshold():
     """Pairs of sets at 0.8 stay well within the bits that are allowed; unrelated ones don't."""
     rng = np.random.default_rng(6)

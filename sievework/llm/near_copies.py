@@ -17,7 +17,7 @@ Each candidate pair is put to the exact similarity over the shingles of its whol
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,8 @@ OWN = ["no", "label", "size", *(f"fp{k}" for k in range(PRINTS)), *(f"odd{k}" fo
 FEW, ROUNDS, SLOW, PIECE = 32, 12, 0.7, 4_096
 #: Bytes of the shingles under one key that one task compares.
 GROUP_BYTES = 32 << 20
+#: Bytes of the shingles that pairs take along up to which they are put to the exact similarity at once, if those of all their texts aren't more.
+PART_BYTES = 32 << 20
 #: Bytes that are sent to all tasks instead of moving what they are joined to; words whose hashes a task remembers; rows from which a task hands results on.
 SENT_BYTES, KNOWN, ROWS = 16 << 20, 1 << 16, 50_000
 
@@ -191,7 +193,7 @@ def _pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         one, two = ([batch[f"{name}{k}_{c}"].to_numpy() for name in ("fp", "odd") for k in range(PRINTS)] for c in "ab")
         every = np.arange(len(batch))
-        yield batch.loc[may_be_alike(batch["size_a"].to_numpy(), batch["size_b"].to_numpy(), one, two, every, every), ["a", "b"]]
+        yield batch.loc[may_be_alike(batch["size_a"].to_numpy(), batch["size_b"].to_numpy(), one, two, every, every), ["a", "b", "size_b"]]
 
 
 def _left(few: int, piece: int, group_bytes: int):
@@ -307,11 +309,23 @@ def _alike(candidates: DataFrame, texts: DataFrame, facts: DataFrame) -> DataFra
     """Of the pairs a > b those at 0.8 or more. Shingles are made of texts that a pair asks for alone."""
     slim = {c: facts.select(*(F.col(x).alias(c if x == "no" else f"{x}_{c}") for x in facts.columns)) for c in "ab"}
     pairs = candidates.distinct().join(slim["a"], "a").join(slim["b"], "b")
-    pairs = written(pairs.mapInPandas(_pruned, "a long, b long"), "candidates")
+    pairs = written(pairs.mapInPandas(_pruned, "a long, b long, size_b long"), "candidates")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct(), "asked")
     held = written(_shingled(texts, asked), "asked-shingles")
     whole = {c: held.select(F.col("no").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab"}
-    both = whole["b"].join(_sent_if_small(pairs, 32), "b").join(whole["a"], "a").select("a", "b", F.size("shingles_a").alias("n_a"), F.size("shingles_b").alias("n_b"), F.size(F.array_intersect("shingles_a", "shingles_b")).alias("both"))
+    # Each pair takes shingles along. Where these come to several times those of the texts, pairs are put in parts, one after the other, so that disk follows the texts and not the pairs.
+    moved, own = (df.agg(F.coalesce(F.sum(c) * 8, F.lit(0))).first()[0] for df, c in ((pairs, F.col("size_b")), (held, F.size("shingles"))))
+    parts = -(-moved // max(PART_BYTES, own)) or 1
+    if parts == 1:
+        return _at_least(pairs, whole)
+    of_part = lambda df, k: df.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == k)
+    found = (written(_at_least(of_part(pairs, k), {"a": of_part(whole["a"], k), "b": whole["b"]}), "alike") for k in range(parts))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _at_least(pairs: DataFrame, whole: dict[str, DataFrame]) -> DataFrame:
+    """Of the pairs those at 0.8 or more, by their texts' shingles."""
+    both = whole["b"].join(_sent_if_small(pairs.select("a", "b"), 32), "b").join(whole["a"], "a").select("a", "b", F.size("shingles_a").alias("n_a"), F.size("shingles_b").alias("n_b"), F.size(F.array_intersect("shingles_a", "shingles_b")).alias("both"))
     return both.where(F.col("both") * OF >= SHARED * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 

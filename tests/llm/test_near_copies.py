@@ -192,6 +192,27 @@ def test_parities_prune_texts_of_few_shingles_and_lose_none():
     assert not n.parities_of(large).any() and n.parities_of(large[1:]).any()
 
 
+def test_pairs_of_many_near_misses_are_compared_in_parts(spark, monkeypatch):
+    """What one part shuffles follows the texts, not the pairs; none is lost or named twice."""
+    monkeypatch.setattr(n, "PART_BYTES", 0)
+    parts, inner = [], n._at_least
+    monkeypatch.setattr(n, "_at_least", lambda pairs, whole: parts.append(pairs.agg({"size_b": "sum"}).first()[0] or 0) or inner(pairs, whole))
+    rng = random.Random(11)
+    base, texts = [str(rng.randrange(10**6)) for _ in range(120)], []
+    for i in range(40):
+        words = list(base)
+        for at in rng.sample(range(120), i % 6):
+            words[at] = str(rng.randrange(10**6))
+        texts.append(" ".join(words))
+    texts = spark.createDataFrame(list(enumerate(texts)), "no long, text string")
+    facts = texts.mapInPandas(n._facts, "no long, size long, " + ", ".join(f"{c} long" for c in n.OWN[3:]))
+    pairs = [(a, b) for a in range(40) for b in range(a)]
+    got = [tuple(r) for r in n._alike(spark.createDataFrame(pairs, "a long, b long"), texts, facts).collect()]
+    sets = [brute_shingles(r.text) for r in sorted(texts.collect())]
+    assert sorted(got) == [(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(parts) > 5 and sum(parts) > 40 * 116 and max(parts) < sum(parts) / 2
+
+
 def test_rounds_leave_only_links_and_keys_on_disk(spark):
     """Tables of shingles, which are the large ones, go with the round that made them; so do the rest of its own tables."""
     import os
